@@ -1,6 +1,6 @@
 """Imports every plan module so that its queries are registered."""
 
-from gitstrata.plans import occurrence_plans  # noqa: F401
+from gitstrata.plans import commit_plans, model_plans, occurrence_plans  # noqa: F401
 from gitstrata.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
