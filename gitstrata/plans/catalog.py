@@ -1,6 +1,13 @@
 """Imports every plan module so that its queries are registered."""
 
-from gitstrata.plans import commit_plans, model_plans, occurrence_plans, quality_plans  # noqa: F401
+from gitstrata.plans import (  # noqa: F401
+    commit_plans,
+    deps_plans,
+    model_plans,
+    occurrence_plans,
+    quality_plans,
+    scan_plans,
+)
 from gitstrata.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
