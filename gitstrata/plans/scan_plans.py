@@ -164,9 +164,10 @@ def title(name):
 
 
 LINE_SQL = f"""
-WITH l AS (SELECT repository_id, path AS file_path, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_number FROM (SELECT repository_id, path, string_split(content, chr(10)) AS ls FROM f_code)),
- r(number, pattern_name, rx, category, confidence, severity) AS (VALUES {", ".join(f"({i}, {lit(title(r.name))}, {lit(re2(r))}, {lit(r.category)}, {r.confidence}::DOUBLE, {lit(r.severity)})" for i, r in enumerate(LINES))}),
- hit AS (SELECT repository_id, file_path, CAST(line_number AS INTEGER) AS line_number, number, pattern_name, category, confidence, severity, left(trim(line), 100) AS snippet FROM l, r WHERE regexp_matches(line, rx))
+WITH r(number, pattern_name, rx, category, confidence, severity) AS (VALUES {", ".join(f"({i}, {lit(title(r.name))}, {lit(re2(r))}, {lit(r.category)}, {r.confidence}::DOUBLE, {lit(r.severity)})" for i, r in enumerate(LINES))}),
+ pairs AS ({" UNION ALL ".join(f"SELECT repository_id, path, content, {i} AS number FROM f_code WHERE regexp_matches(content, {lit(re2(r))})" for i, r in enumerate(LINES))}),
+ l AS (SELECT repository_id, path AS file_path, number, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_number FROM (SELECT repository_id, path, number, string_split(content, chr(10)) AS ls FROM pairs)),
+ hit AS (SELECT repository_id, file_path, CAST(line_number AS INTEGER) AS line_number, number, pattern_name, category, confidence, severity, left(trim(line), 100) AS snippet FROM l JOIN r USING (number) WHERE regexp_matches(line, rx))
 """
 
 

@@ -31,7 +31,7 @@ _SNIPPETS = [
     ("pkg/core", "server", "go", "go",
      "package core¶func (s *Server) Handle(w Writer, r *Request) error {{¶    if err := s.check(r); err != nil {{¶        return err¶    }}¶    switch r.Kind {{¶    case 1:¶        return nil¶    }}¶    return nil¶}}¶"),
     ("app/domain", "repository", "py", "python",
-     "class UserRepository:¶    def __init__(self, store: Store):¶        self.store = store¶    def find_by_name(self, name):¶        with self.store.open() as s:¶            return [r for r in s if r.name == name]¶    def save(self, row):¶        try:¶            yield self.store.put(row)¶        except Exception:¶            pass¶"),
+     "class UserRepository:¶    def __init__(self, store: Store):¶        self.store = store¶    def find_by_name(self, name):¶        with self.store.open() as s:¶            return [r for r in s if r.name == name]¶    def save(self, row):¶        try:¶            yield self.store.put(row)¶        except Exception:¶            pass¶@app.route(\"/x\", methods=[\"POST\"])¶def delete_user(request):¶    return yaml.load(request.body)¶"),
     ("tests/unit", "login.test", "js", "javascript",
      "describe(\"login\", () => {{¶  it(\"works\", () => {{ expect(true).toBe(true) }})¶}})¶var token = \"abcdefghijklmnopqrstuvwx\"¶eval(\"a\" + token)¶setInterval(tick, 100)¶"),
     ("db/migration", "schema", "sql", "sql",
