@@ -3,10 +3,13 @@
 from gitstrata.plans import (  # noqa: F401
     commit_plans,
     deps_plans,
+    health_plans,
+    incremental_plans,
     model_plans,
     occurrence_plans,
     quality_plans,
     scan_plans,
+    structure_plans,
 )
 from gitstrata.plans.registry import ORACLE, QUERIES
 
