@@ -8,6 +8,7 @@ from gitstrata.plans import (  # noqa: F401
     model_plans,
     occurrence_plans,
     quality_plans,
+    report_plans,
     scan_plans,
     structure_plans,
 )
