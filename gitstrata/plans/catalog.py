@@ -1,6 +1,7 @@
 """Imports every plan module so that its queries are registered."""
 
 from gitstrata.plans import (  # noqa: F401
+    block_plans,
     commit_plans,
     deps_plans,
     health_plans,
@@ -10,6 +11,7 @@ from gitstrata.plans import (  # noqa: F401
     quality_plans,
     report_plans,
     scan_plans,
+    streaming_plans,
     structure_plans,
 )
 from gitstrata.plans.registry import ORACLE, QUERIES
