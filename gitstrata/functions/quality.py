@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gitstrata.functions.common import banded, compact_list
+from gitstrata.functions.regex import guarded_count
 
 # Tokens that open another path, in any case.
 DECISION_TOKENS = r"(?iU)\b(?:if|else|while|for|switch|case|catch|throw|return)\b|&&|\|\||\?|:"
@@ -40,11 +41,12 @@ def count_lines(lines: Column, pattern: str) -> Column:
 
 
 def count(content: Column, pattern: str) -> Column:
-    return F.regexp_count(content, F.lit(pattern)).cast("long")
+    return guarded_count(content, pattern)
 
 
 def cyclomatic(content: Column) -> Column:
-    return (count(content, DECISION_TOKENS) + 1).cast("double")
+    # these tokens are in nearly every text, so nothing is gained by a guard
+    return (F.regexp_count(content, F.lit(DECISION_TOKENS)) + 1).cast("double")
 
 
 def max_nesting(content: Column) -> Column:

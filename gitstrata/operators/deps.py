@@ -173,19 +173,33 @@ def identify(deps: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     equality, with Spark choosing how.
     """
     spark = deps.sparkSession
-    table = "ecosystem string, package string, technology string, kind string"
-    exact = deps.join(F.broadcast(spark.createDataFrame(rules.exact_rows(), table)), ["ecosystem", "package"])
-    hits = [F.when((F.col("ecosystem") == eco) & F.col("package").startswith(start), F.struct(F.lit(tech).alias("technology"), F.lit(kind).alias("kind")))
-            for eco, kind, start, tech in rules.PREFIXES]
-    hits += [F.when((F.col("ecosystem") == eco) & F.col("package").contains(part), F.struct(F.lit(tech).alias("technology"), F.lit(kind).alias("kind")))
-             for eco, part, tech, kind in rules.part_rows()]
+    named = spark.createDataFrame(rules.exact_rows(), "ecosystem string, package string, _technology string, _kind string")
+
+    def hit(technology: Column, kind: Column) -> Column:
+        return F.struct(technology.alias("technology"), kind.alias("kind"))
+
+    hits = [F.when(F.col("_technology").isNotNull(), hit(F.col("_technology"), F.col("_kind")))]
     # a package that its own name identifies is not matched by prefix as well
-    by_part = deps.filter(~F.col("package").isin("aws-sdk")).withColumn("hit", F.explode(F.array_distinct(F.array_compact(F.array(*hits)))))
-    found = exact.unionByName(by_part.select(*deps.columns, "hit.technology", "hit.kind"))
+    hits += [
+        F.when((F.col("ecosystem") == eco) & F.col("package").startswith(start) & F.col("_technology").isNull(), hit(F.lit(tech), F.lit(kind)))
+        for eco, kind, start, tech in rules.PREFIXES
+    ]
+    for eco in rules.PARTS:
+        # the parts of one ecosystem are looked for only in its own packages
+        parts = [F.when(F.col("package").contains(part), hit(F.lit(tech), F.lit(kind))) for e, part, tech, kind in rules.part_rows() if e == eco]
+        hits.append(F.when(F.col("ecosystem") == eco, F.array_compact(F.array(*parts))))
+    single, several = hits[: 1 + len(rules.PREFIXES)], hits[1 + len(rules.PREFIXES) :]
+    own_parts = F.coalesce(*several, F.array().cast("array<struct<technology:string,kind:string>>"))
+    every = F.array_distinct(F.concat(F.array_compact(F.array(*single)), own_parts))
     if catalog is not None:
-        own = deps.join(catalog.select("ecosystem", "package", "technology", "kind"), ["ecosystem", "package"])
-        found = found.unionByName(own)
-    return found
+        own = catalog.select("ecosystem", "package", F.struct("technology", "kind").alias("_own"))
+        listed = own.groupBy("ecosystem", "package").agg(F.collect_set("_own").alias("_own"))
+        deps_listed = deps.join(listed, ["ecosystem", "package"], "left")
+        every = F.array_distinct(F.concat(every, F.coalesce("_own", F.array().cast("array<struct<technology:string,kind:string>>"))))
+    else:
+        deps_listed = deps
+    marked = deps_listed.join(F.broadcast(named), ["ecosystem", "package"], "left").withColumn("_hit", F.explode(every))
+    return marked.select(*deps.columns, "_hit.technology", "_hit.kind")
 
 
 def _first_tool(text: Column, table: list[tuple[str, str]]) -> Column:

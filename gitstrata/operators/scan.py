@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gitstrata.functions.common import contains_any, joined, top_n_per_key
 from gitstrata.functions.paths import file_name
+from gitstrata.functions.regex import folded, guarded, java_regex
 from gitstrata.rules import patterns as pattern_rules
 from gitstrata.rules import performance as perf_rules
 from gitstrata.rules import security as sec_rules
@@ -43,11 +44,6 @@ class Rule:
     number: int = 0
 
 
-def java_regex(regex: str, ignore_case: bool = False) -> str:
-    """The Python expression as Java reads it: Unicode classes, line feeds only, multi-line anchors."""
-    return f"(?dmUu{'i' if ignore_case else ''}){regex}"
-
-
 def numbered(rules: Iterable[Rule]) -> list[Rule]:
     return [replace(rule, number=i) for i, rule in enumerate(rules)]
 
@@ -133,15 +129,16 @@ def _rule_table(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def _matching_pairs(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(file, rule) pairs where the rule matches somewhere and its language fits."""
-    content, language = F.col("content"), F.lower(F.col("language"))
+    content, lower, language = F.col("content"), F.col("_folded"), F.lower(F.col("language"))
     tests = []
     for rule in rules:
-        test = content.rlike(java_regex(rule.regex, rule.ignore_case))
+        test = guarded(content, lower, rule.regex, rule.ignore_case)
         if rule.languages:
             test = language.isin(*rule.languages) & test
         tests.append(F.when(test, F.lit(rule.number)))
     numbers = F.array_compact(F.array(*tests))
-    return files.withColumn("number", F.explode(numbers)).join(_rule_table(files, rules), "number")
+    pairs = files.withColumn("_folded", folded(content)).withColumn("number", F.explode(numbers)).drop("_folded")
+    return pairs.join(_rule_table(files, rules), "number")
 
 
 def match_lines(content: Column, regex: Column) -> Column:
@@ -263,12 +260,13 @@ def dedupe_matches(matches: DataFrame) -> DataFrame:
 
 def design_evidence(files: DataFrame) -> DataFrame:
     """Per file and design pattern: share of the language's expressions that match."""
-    content, language = F.col("content"), F.lower(F.col("language"))
+    content, lower, language = F.col("content"), F.col("_folded"), F.lower(F.col("language"))
     rows = []
     for pattern, lang, expressions in pattern_rules.DESIGN_EVIDENCE:
-        matched = F.array_compact(F.array(*[F.when(content.rlike(java_regex(rx, True)), F.lit(rx)) for rx in expressions]))
+        matched = F.array_compact(F.array(*[F.when(guarded(content, lower, rx, True), F.lit(rx)) for rx in expressions]))
         rows.append(F.when(language == lang, F.struct(F.lit(pattern).alias("pattern"), F.lit(len(expressions)).alias("rules"), matched.alias("evidence"))))
-    found = files.select("repository_id", "path", F.explode(F.array_compact(F.array(*rows))).alias("e"))
+    texts = files.withColumn("_folded", folded(content))
+    found = texts.select("repository_id", "path", F.explode(F.array_compact(F.array(*rows))).alias("e"))
     return found.filter(F.size("e.evidence") > 0).select(
         "repository_id", "path", "e.pattern", (F.size("e.evidence") / F.col("e.rules")).alias("confidence"), "e.evidence"
     )
@@ -288,12 +286,13 @@ def consolidate(evidence: DataFrame) -> DataFrame:
 
 def technology_evidence(files: DataFrame) -> DataFrame:
     """Per file and technology: 0.3 per matching expression, at most 1."""
-    content = F.col("content")
+    content, lower = F.col("content"), F.col("_folded")
     rows = []
     for category, technology, expressions in pattern_rules.TECHNOLOGY_EVIDENCE:
-        matched = F.array_compact(F.array(*[F.when(content.rlike(java_regex(rx, True)), F.lit(rx)) for rx in expressions]))
+        matched = F.array_compact(F.array(*[F.when(guarded(content, lower, rx, True), F.lit(rx)) for rx in expressions]))
         rows.append(F.struct(F.lit(category).alias("category"), F.lit(technology).alias("name"), matched.alias("evidence")))
-    found = files.select("repository_id", "path", F.explode(F.filter(F.array(*rows), lambda r: F.size(r["evidence"]) > 0)).alias("e"))
+    texts = files.withColumn("_folded", folded(content))
+    found = texts.select("repository_id", "path", F.explode(F.filter(F.array(*rows), lambda r: F.size(r["evidence"]) > 0)).alias("e"))
     return found.select(
         "repository_id", "path", "e.category", "e.name",
         F.least(F.lit(1.0), F.size("e.evidence") * F.lit(0.3)).alias("confidence"), F.slice("e.evidence", 1, 3).alias("evidence"),

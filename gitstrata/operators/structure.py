@@ -45,7 +45,8 @@ def architecture_style(files: DataFrame) -> DataFrame:
         for kind, expressions in kinds.items():
             test = F.lit(False)
             for rx in expressions:
-                test = test | F.col("path").rlike("(?i)" + rx)
+                # the search is unanchored, so leading and trailing wildcards add nothing
+                test = test | F.col("path").rlike("(?i)" + rx.removeprefix(".*").removesuffix(".*"))
             flags[f"file_{style}_{kind}"] = test
     flags |= {
         "hint_docker": path.contains("docker"),

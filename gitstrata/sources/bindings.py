@@ -10,11 +10,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gitstrata.sources.files import spread
+
 BASE = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# Tables of long texts and the key that spreads them when they have few splits.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
 # Source snippets appended to document texts, so that code rules meet code. A
 # pilcrow stands for a line break; doc_id picks one.
 _SNIPPETS = [
@@ -228,6 +233,8 @@ class Tables:
         if name not in self._frames:
             if name in BASE:
                 frame = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                if name in TEXT_KEYS:
+                    frame = spread(frame, TEXT_KEYS[name])
             else:
                 args = {ref: getattr(self, ref) for ref in references(name)}
                 frame = self.spark.sql(VIEWS[name], **args) if args else self.spark.sql(VIEWS[name])

@@ -33,6 +33,16 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: str
     return reader.load(path)
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A plain scan with too few splits for the cores, hash-spread over them.
+
+    Scanning text is bound by CPU. A table with as many splits as cores is left as
+    it is, so at scale nothing is shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def write_facts(df: DataFrame, path: str, time_column: str, fmt: str = "parquet", mode: str = "append") -> None:
     """A fact table in monthly partitions, clustered by repository inside each file."""
     month = F.date_format(time_column, "yyyy-MM")
