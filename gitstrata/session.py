@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -32,6 +33,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    """One temporary folder per local process."""
+    return tempfile.mkdtemp(prefix="gitstrata-")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's ``spark.checkpoint.dir``.
 
@@ -43,6 +50,5 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="gitstrata-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_folder()
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex[:12]}")
