@@ -69,31 +69,34 @@ def _(t):
     return inc.backfill_counts(inc.backfill(t.f_occurrences, {"file_path": F.lit(""), "ai_model_used": F.lit("unknown")}))
 
 
+NEXT = "CAST(CAST(repository_id AS INTEGER) % 50 + 1 AS VARCHAR(20))"
+
+
 def pairs(t):
-    """Every repository against repository 1."""
-    return t.f_technologies.select("repository_id").distinct().filter("repository_id <> '1'").select(F.lit("1").alias("repo_a"), F.col("repository_id").alias("repo_b"))
+    """Every repository against the one with the next number."""
+    return t.f_technologies.select("repository_id").distinct().select(F.expr(NEXT).alias("repo_a"), F.col("repository_id").alias("repo_b"))
 
 
-SETS = """
-WITH r AS (SELECT DISTINCT repository_id FROM f_technologies WHERE repository_id <> '1'), p AS (SELECT DISTINCT repository_id, pattern_id AS name FROM f_name_occurrences WHERE confidence_score > 0.99), t AS (SELECT DISTINCT repository_id, name FROM f_technologies),
- q AS (SELECT r.repository_id AS repo_b, (SELECT list(name) FROM p WHERE p.repository_id = '1') AS pa, (SELECT list(name) FROM p WHERE p.repository_id = r.repository_id) AS pb, (SELECT list(name) FROM t WHERE t.repository_id = '1') AS ta, (SELECT list(name) FROM t WHERE t.repository_id = r.repository_id) AS tb FROM r),
- z AS (SELECT repo_b, coalesce(pa, []) AS pa, coalesce(pb, []) AS pb, coalesce(ta, []) AS ta, coalesce(tb, []) AS tb FROM q),
- n AS (SELECT repo_b, len(list_intersect(pa, pb)) AS common_patterns, len(pa) - len(list_intersect(pa, pb)) AS only_a_patterns, len(pb) - len(list_intersect(pa, pb)) AS only_b_patterns,
+SETS = f"""
+WITH r AS (SELECT DISTINCT {NEXT} AS repo_a, repository_id AS repo_b FROM f_technologies), p AS (SELECT repository_id, list(DISTINCT pattern_id) AS names FROM f_name_occurrences WHERE confidence_score > 0.99 GROUP BY 1), t AS (SELECT repository_id, list(DISTINCT name) AS names FROM f_technologies GROUP BY 1),
+ z AS (SELECT repo_a, repo_b, coalesce(pa.names, []) AS pa, coalesce(pb.names, []) AS pb, coalesce(ta.names, []) AS ta, coalesce(tb.names, []) AS tb
+  FROM r LEFT JOIN p pa ON pa.repository_id = repo_a LEFT JOIN p pb ON pb.repository_id = repo_b LEFT JOIN t ta ON ta.repository_id = repo_a LEFT JOIN t tb ON tb.repository_id = repo_b),
+ n AS (SELECT repo_a, repo_b, len(list_intersect(pa, pb)) AS common_patterns, len(pa) - len(list_intersect(pa, pb)) AS only_a_patterns, len(pb) - len(list_intersect(pa, pb)) AS only_b_patterns,
   len(list_intersect(ta, tb)) AS common_technologies, len(ta) - len(list_intersect(ta, tb)) AS only_a_technologies, len(tb) - len(list_intersect(ta, tb)) AS only_b_technologies FROM z)
 """
 
 
 @query("compare_repositories", SETS + """
-SELECT '1' AS repo_a, n.*, round(coalesce(common_patterns / nullif(common_patterns + only_a_patterns + only_b_patterns, 0), 0) * 0.7 + coalesce(common_technologies / nullif(common_technologies + only_a_technologies + only_b_technologies, 0), 0) * 0.3, 9) AS similarity_score FROM n""", "f_technologies f_name_occurrences")
+SELECT n.*, round(coalesce(common_patterns / nullif(common_patterns + only_a_patterns + only_b_patterns, 0), 0) * 0.7 + coalesce(common_technologies / nullif(common_technologies + only_a_technologies + only_b_technologies, 0), 0) * 0.3, 9) AS similarity_score FROM n""", "f_technologies f_name_occurrences")
 def _(t):
     patterns = t.f_name_occurrences.filter("confidence_score > 0.99").select("repository_id", F.col("pattern_id").alias("name"))
     return inc.compare_pairs(pairs(t), patterns, t.f_technologies).withColumn("similarity_score", F.round("similarity_score", 9))
 
 
-@query("compared_items", """
-WITH t AS (SELECT DISTINCT repository_id, name FROM f_technologies), a AS (SELECT b.repository_id AS repo_b, t.name, 1 AS s FROM (SELECT DISTINCT repository_id FROM f_technologies WHERE repository_id <> '1') b, t WHERE t.repository_id = '1'
- UNION ALL SELECT repository_id, name, 2 FROM t WHERE repository_id <> '1')
-SELECT '1' AS repo_a, repo_b, name AS item, CASE sum(s) WHEN 3 THEN 'both' WHEN 1 THEN 'only_a' ELSE 'only_b' END AS found_in FROM a GROUP BY 1, 2, 3""", "f_technologies")
+@query("compared_items", f"""
+WITH t AS (SELECT DISTINCT repository_id, name FROM f_technologies), r AS (SELECT DISTINCT {NEXT} AS repo_a, repository_id AS repo_b FROM f_technologies),
+ s AS (SELECT repo_a, repo_b, name, 1 AS s FROM r JOIN t ON t.repository_id = repo_a UNION ALL SELECT repo_a, repo_b, name, 2 FROM r JOIN t ON t.repository_id = repo_b)
+SELECT repo_a, repo_b, name AS item, CASE sum(s) WHEN 3 THEN 'both' WHEN 1 THEN 'only_a' ELSE 'only_b' END AS found_in FROM s GROUP BY 1, 2, 3""", "f_technologies")
 def _(t):
     return inc.compared_items(pairs(t), t.f_technologies)
 

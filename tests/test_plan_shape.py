@@ -22,7 +22,7 @@ def test_no_pairing_and_no_row_python(name, spark, sf):
     assert "BroadcastNestedLoopJoin" not in text
     assert "BatchEvalPython" not in text
     if name not in PYTHON:
-        assert "Python" not in text and "InPandas" not in text
+        assert "ArrowEvalPython" not in text and "InPandas" not in text
 
 
 def test_scan_reads_only_what_it_needs(spark, sf):
