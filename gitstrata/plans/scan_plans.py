@@ -30,10 +30,19 @@ def plain(rules):
 
 def rule_values(rules) -> str:
     rows = ", ".join(
-        f"({i}, {lit(r.family)}, {lit(r.name)}, {lit(re2(r))}, {lit(r.severity)}, {lit(r.category)}, {lit(r.owasp)}, {r.confidence if r.confidence is not None else 'NULL'}::DOUBLE, {lit('|'.join(r.languages))}, {str(r.auto_fixable).lower()}, {lit(r.id_prefix)})"
+        f"({i}, {lit(r.family)}, {lit(r.name)}, {lit(r.severity)}, {lit(r.category)}, {lit(r.owasp)}, {r.confidence if r.confidence is not None else 'NULL'}::DOUBLE, {str(r.auto_fixable).lower()}, {lit(r.id_prefix)})"
         for i, r in enumerate(rules)
     )
-    return f"(VALUES {rows}) AS r(number, family, name, rx, severity, category, owasp, fixed, langs, auto_fixable, id_prefix)"
+    return f"r(number, family, name, severity, category, owasp, fixed, auto_fixable, id_prefix) AS (VALUES {rows})"
+
+
+def hits(rules) -> str:
+    """Matches of each rule in each file; one branch per rule keeps the expressions constant."""
+    out = []
+    for i, r in enumerate(rules):
+        gate = f"language IN ({', '.join(lit(x) for x in r.languages)}) AND " if r.languages else ""
+        out.append(f"SELECT repository_id, path, content, {i} AS number, regexp_extract_all(content, {lit(re2(r))}) AS m, string_split_regex(content, {lit(re2(r))}) AS p FROM f_code WHERE {gate}regexp_matches(content, {lit(re2(r))})")
+    return "h AS (" + " UNION ALL ".join(out) + ")"
 
 
 NL = "length({x}) - length(replace({x}, chr(10), ''))"
@@ -49,8 +58,7 @@ def findings_sql(rules, kind: str) -> str:
  - CASE WHEN regexp_matches(line, '^\\s*(#|//|/\\*|\\*)') THEN 0.4 ELSE 0.0 END"""
         key = "id_prefix || name || '_' || path || '_' || line_number"
     return f"""
-WITH hits AS (SELECT c.*, r.*, regexp_extract_all(content, rx) AS m, string_split_regex(content, rx) AS p FROM f_code c, {rule_values(rules)}
-  WHERE (langs = '' OR list_contains(string_split(langs, '|'), language)) AND regexp_matches(content, rx)),
+WITH {rule_values(rules)}, {hits(rules)}, hits AS (SELECT * FROM h JOIN r USING (number)),
  ks AS (SELECT *, unnest(generate_series(1, len(m))) AS k FROM hits),
  bs AS (SELECT *, array_to_string(list_concat(p[1:k], m[1:k - 1]), '') AS before FROM ks),
  ln AS (SELECT *, CAST(1 + {NL.format(x='before')} AS INTEGER) AS line_number FROM bs),
@@ -164,10 +172,11 @@ def title(name):
 
 
 LINE_SQL = f"""
-WITH r(number, pattern_name, rx, category, confidence, severity) AS (VALUES {", ".join(f"({i}, {lit(title(r.name))}, {lit(re2(r))}, {lit(r.category)}, {r.confidence}::DOUBLE, {lit(r.severity)})" for i, r in enumerate(LINES))}),
+WITH r(number, pattern_name, category, confidence, severity) AS (VALUES {", ".join(f"({i}, {lit(title(r.name))}, {lit(r.category)}, {r.confidence}::DOUBLE, {lit(r.severity)})" for i, r in enumerate(LINES))}),
  pairs AS ({" UNION ALL ".join(f"SELECT repository_id, path, content, {i} AS number FROM f_code WHERE regexp_matches(content, {lit(re2(r))})" for i, r in enumerate(LINES))}),
  l AS (SELECT repository_id, path AS file_path, number, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_number FROM (SELECT repository_id, path, number, string_split(content, chr(10)) AS ls FROM pairs)),
- hit AS (SELECT repository_id, file_path, CAST(line_number AS INTEGER) AS line_number, number, pattern_name, category, confidence, severity, left(trim(line), 100) AS snippet FROM l JOIN r USING (number) WHERE regexp_matches(line, rx))
+ hl AS ({" UNION ALL ".join(f"SELECT * FROM l WHERE number = {i} AND regexp_matches(line, {lit(re2(r))})" for i, r in enumerate(LINES))}),
+ hit AS (SELECT repository_id, file_path, CAST(line_number AS INTEGER) AS line_number, number, pattern_name, category, confidence, severity, left(trim(line), 100) AS snippet FROM hl JOIN r USING (number))
 """
 
 
@@ -188,10 +197,17 @@ def _(t):
     return models.pattern_rollup(ops.scan_lines(t.f_code))
 
 
+def evidence_hits() -> str:
+    out = []
+    for pattern, lang, expressions in pr.DESIGN_EVIDENCE:
+        for rx in expressions:
+            out.append(f"SELECT repository_id, path, {lit(pattern)} AS pattern, {lit(rx)} AS rx, {len(expressions)} AS n FROM f WHERE al = {lit(lang)} AND regexp_matches(content, {lit(re2(rx, True))})")
+    return " UNION ALL ".join(out)
+
+
 EVIDENCE = f"""
-WITH r(pattern, lang, rx, n) AS (VALUES {", ".join(f"({lit(p)}, {lit(lang)}, {lit(rx)}, {len(rxs)})" for p, lang, rxs in pr.DESIGN_EVIDENCE for rx in rxs)}),
- f AS (SELECT *, CASE language WHEN 'typescript' THEN 'javascript' ELSE language END AS al FROM f_code),
- h AS (SELECT repository_id, path, pattern, rx, n FROM f JOIN r ON al = lang WHERE regexp_matches(content, '(?im)' || replace(rx, '\\w', '[\\p{{L}}\\p{{N}}_]'))),
+WITH f AS (SELECT *, CASE language WHEN 'typescript' THEN 'javascript' ELSE language END AS al FROM f_code),
+ h AS ({evidence_hits()}),
  e AS (SELECT repository_id, path, pattern, count(*) / any_value(n) AS confidence, string_agg(rx, ' ' ORDER BY rx) AS evidence FROM h GROUP BY 1, 2, 3)
 """
 
@@ -215,9 +231,12 @@ def _(t):
     return out.withColumn("confidence", F.round("confidence", 9)).withColumn("evidence", joined("evidence", " "))
 
 
+TECH_HITS = " UNION ALL ".join(
+    f"SELECT repository_id, path, {lit(c)} AS category, {lit(n)} AS name, {lit(rx)} AS rx, {i} AS i FROM f_code WHERE regexp_matches(content, {lit(re2(rx, True))})"
+    for c, n, rxs in pr.TECHNOLOGY_EVIDENCE for i, rx in enumerate(rxs)
+)
 TECH = f"""
-WITH r(category, name, rx, i) AS (VALUES {", ".join(f"({lit(c)}, {lit(n)}, {lit(rx)}, {i})" for c, n, rxs in pr.TECHNOLOGY_EVIDENCE for i, rx in enumerate(rxs))}),
- h AS (SELECT repository_id, path, category, name, rx, i FROM f_code, r WHERE regexp_matches(content, '(?im)' || rx)),
+WITH h AS ({TECH_HITS}),
  e AS (SELECT repository_id, path, category, name, least(1.0, count(*) * 0.3::DOUBLE) AS confidence, array_to_string(list(rx ORDER BY i)[1:3], ' ') AS evidence FROM h GROUP BY 1, 2, 3, 4)
 """
 
