@@ -29,38 +29,36 @@ def _worth(alternatives: list[str] | None) -> int:
     return min(map(len, alternatives)) if alternatives else 0
 
 
-def _required(parsed) -> list[str] | None:
-    """Texts of which every match holds at least one; the choice with the longest ones."""
-    best: list[str] | None = None
+def _demands(parsed) -> list[list[str]]:
+    """What every match of a sequence holds: at least one text of each group."""
+    groups: list[list[str]] = []
     run = ""
     for op, arg in [*parsed, (None, None)]:
         if op is _c.LITERAL:
             run += chr(arg)
             continue
-        found: list[list[str] | None] = [[run]] if run else []
+        if run:
+            groups.append([run])
         run = ""
         if op in (_c.MAX_REPEAT, _c.MIN_REPEAT) and arg[0] >= 1:
-            found.append(_required(arg[2]))
+            groups += _demands(arg[2])
         elif op is _c.SUBPATTERN:
-            found.append(_required(arg[-1]))
+            groups += _demands(arg[-1])
         elif op is _c.BRANCH:
-            branches = [_required(branch) for branch in arg[1]]
-            if all(branches):
-                found.append([text for branch in branches for text in branch])
-        for candidate in found:
-            if _worth(candidate) > _worth(best):
-                best = candidate
-    return best
+            best = [max(_demands(branch), key=_worth, default=None) for branch in arg[1]]
+            if all(best):
+                groups.append([text for branch in best for text in branch])
+    return groups
 
 
 @lru_cache(maxsize=1024)
-def needles(regex: str) -> tuple[str, ...] | None:
-    """Literal texts of which any match of ``regex`` must hold one; None when there is none."""
+def needles(regex: str) -> tuple[tuple[str, ...], ...]:
+    """Groups of literal texts, the most telling first: a match holds one text of each group."""
     if _p is None:
-        return None
-    plain = re.sub(r"^\(\?[a-zA-Z]+\)", "", regex).replace(r"\Z", "$")
-    found = _required(_p.parse(plain))
-    return tuple(dict.fromkeys(found)) if found else None
+        return ()
+    plain = re.sub(r"^\(\?[a-zA-Z]+\)", "", regex)
+    groups = sorted(_demands(_p.parse(plain)), key=_worth, reverse=True)
+    return tuple(dict.fromkeys(tuple(dict.fromkeys(group)) for group in groups))[:4]
 
 
 def folded(text: Column) -> Column:
@@ -68,24 +66,23 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(text), "ıſ", "is")
 
 
-def _holds_one(text: Column, words: tuple[str, ...]) -> Column:
-    out = text.contains(words[0])
-    for word in words[1:]:
-        out = out | text.contains(word)
-    return out
+def _may_match(text: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+    every = F.lit(True)
+    for words in groups:
+        some = text.contains(words[0])
+        for word in words[1:]:
+            some = some | text.contains(word)
+        every = every & some
+    return every
 
 
 def guarded(text: Column, lower: Column, regex: str, ignore_case: bool = False) -> Column:
     """``text`` matches ``regex``; ``lower`` is the folded text, computed once by the caller."""
-    test = text.rlike(java_regex(regex, ignore_case))
-    words = needles(regex)
-    if words is None:
-        return test
-    return _holds_one(lower, tuple(w.lower() for w in words)) & test
+    groups = tuple(tuple(w.lower() for w in words) for words in needles(regex))
+    return _may_match(lower, groups) & text.rlike(java_regex(regex, ignore_case))
 
 
 def guarded_count(text: Column, regex: str) -> Column:
     """Number of matches of a case-sensitive expression; zero without running it where it cannot match."""
     count = F.regexp_count(text, F.lit(regex)).cast("long")
-    words = needles(regex)
-    return count if words is None else F.when(_holds_one(text, words), count).otherwise(F.lit(0).cast("long"))
+    return F.when(_may_match(text, needles(regex)), count).otherwise(F.lit(0).cast("long"))
