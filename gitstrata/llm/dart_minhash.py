@@ -13,9 +13,9 @@ Documents are sets of five-word runs (all words, for shorter texts) of weight on
 counts with ``weighted=True``. Equal texts share one node and are never compared. Nodes
 that share a band of ``ROWS`` coordinates meet in a bucket; there each is compared with
 three central members only, so a bucket of any size gives a linear number of pairs. Where
-a bucket still holds several groups, the pairs between the groups are tested as well,
-unless an exact bound (sizes and elements that no other candidate has) or the sketch rules them out. All links
-are decided by the exact similarity.
+a bucket still holds several groups, the pairs between the groups are tested inside a join
+that lets only similar ones out, unless an exact bound (sizes and elements that no other candidate has)
+or the sketch rules them out first. All links are decided by the exact similarity.
 
 Defined cases: equal texts, empty ones too, always form a class; a NULL text is an empty
 text; texts without a word have no near copies; rows without id follow the class of
@@ -229,7 +229,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = Fa
     members = entries.join(shared, "key")
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
     # Only nodes that meet another one go on.
-    met = written(nodes.join(degree, "node").drop("keys"), "met")
+    met = written(nodes.join(degree, "node"), "met")
     look = F.struct("node", "s0", "s1", "s2", "s3")
     members = written(members.select("node", "key").join(met, "node").select("key", "degree", look.alias("m")), "members")
     node = F.col("m.node")
@@ -251,18 +251,22 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = Fa
     items = sets.select("node", F.size("items").alias("n"), F.explode("items").alias("item"))
     alone = items.groupBy("item").agg(F.count("node").alias("df"), F.first("node").alias("node")).filter("df = 1")
     own = alone.groupBy("node").agg(F.count("item").alias("own"))
-    sized = sets.select("node", F.size("items").alias("n")).join(own, "node", "left")
-    sized = sized.select(F.col("node").alias("n_node"), "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+    sized = sets.join(own, "node", "left").join(met.select("node", "keys"), "node").select(
+        F.col("node").alias("n_node"), "keys", "items", F.size("items").alias("n"), (F.size("items") - F.coalesce("own", F.lit(0))).alias("common")
+    )
     # common / n bounds every similarity of a node from above.
-    rest = open_nodes.join(sized, node == F.col("n_node")).filter(F.col("common") >= similarity * F.col("n") - 1e-9)
-    rest = rest.select("key", "m", "root", "n", "common")
+    rest = open_nodes.join(sized.filter(F.col("common") >= similarity * F.col("n") - 1e-9), node == F.col("n_node"))
+    rest = rest.select("key", "m", "root", "n", "common", "keys", "items")
     x, y = rest.alias("x"), rest.alias("y")
     most = F.least(F.col("x.common"), F.col("y.common"))
     possible = most >= similarity * (F.col("x.n") + F.col("y.n") - most) - 1e-9
-    second = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & possible & _close("x.m", "y.m"))
-    second = second.select(F.col("x.m.node").alias("u"), F.col("y.m.node").alias("v"))
-    second = second.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = written(_linked(written(second, "pairs"), sets, similarity), "similar")
+    # A pair is tested in the first of its buckets only, and only a similar one leaves the join.
+    equal = F.filter(F.zip_with("x.keys", "y.keys", lambda a, b: F.when(a == b, a)), lambda k: k.isNotNull())
+    here = F.element_at(equal, 1) == F.col("x.key")
+    both = F.size(F.array_intersect("x.items", "y.items"))
+    similar = both >= similarity * (F.col("x.n") + F.col("y.n") - both) - 1e-9
+    second = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & possible & _close("x.m", "y.m") & similar & here)
+    more = written(second.select(F.col("x.m.node").alias("a"), F.col("y.m.node").alias("b")), "similar")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     return roots, texts
