@@ -78,7 +78,7 @@ def pairs(t):
 
 
 SETS = f"""
-WITH r AS (SELECT DISTINCT {NEXT} AS repo_a, repository_id AS repo_b FROM f_technologies), p AS (SELECT repository_id, list(DISTINCT pattern_id) AS names FROM f_name_occurrences WHERE confidence_score > 0.99 GROUP BY 1), t AS (SELECT repository_id, list(DISTINCT name) AS names FROM f_technologies GROUP BY 1),
+WITH r AS (SELECT DISTINCT {NEXT} AS repo_a, repository_id AS repo_b FROM f_technologies), p AS (SELECT repository_id, list(DISTINCT pattern_id) AS names FROM f_name_occurrences GROUP BY 1), t AS (SELECT repository_id, list(DISTINCT name) AS names FROM f_technologies GROUP BY 1),
  z AS (SELECT repo_a, repo_b, coalesce(pa.names, []) AS pa, coalesce(pb.names, []) AS pb, coalesce(ta.names, []) AS ta, coalesce(tb.names, []) AS tb
   FROM r LEFT JOIN p pa ON pa.repository_id = repo_a LEFT JOIN p pb ON pb.repository_id = repo_b LEFT JOIN t ta ON ta.repository_id = repo_a LEFT JOIN t tb ON tb.repository_id = repo_b),
  n AS (SELECT repo_a, repo_b, len(list_intersect(pa, pb)) AS common_patterns, len(pa) - len(list_intersect(pa, pb)) AS only_a_patterns, len(pb) - len(list_intersect(pa, pb)) AS only_b_patterns,
@@ -89,7 +89,7 @@ WITH r AS (SELECT DISTINCT {NEXT} AS repo_a, repository_id AS repo_b FROM f_tech
 @query("compare_repositories", SETS + """
 SELECT n.*, round(coalesce(common_patterns / nullif(common_patterns + only_a_patterns + only_b_patterns, 0), 0) * 0.7 + coalesce(common_technologies / nullif(common_technologies + only_a_technologies + only_b_technologies, 0), 0) * 0.3, 9) AS similarity_score FROM n""", "f_technologies f_name_occurrences")
 def _(t):
-    patterns = t.f_name_occurrences.filter("confidence_score > 0.99").select("repository_id", F.col("pattern_id").alias("name"))
+    patterns = t.f_name_occurrences.select("repository_id", F.col("pattern_id").alias("name"))
     return inc.compare_pairs(pairs(t), patterns, t.f_technologies).withColumn("similarity_score", F.round("similarity_score", 9))
 
 

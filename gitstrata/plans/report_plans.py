@@ -12,13 +12,13 @@ from gitstrata.rules import insights as rules
 
 WIDE = "f_name_occurrences f_name_patterns"
 STATS = """
-WITH st AS (SELECT o.repository_id, o.pattern_id, p.name, p.category, p.complexity_level, p.is_antipattern, count(*) AS occurrences FROM f_name_occurrences o JOIN f_name_patterns p USING (pattern_id) WHERE o.confidence_score > 0.95 GROUP BY ALL)
+WITH st AS (SELECT o.repository_id, o.pattern_id, p.name, p.category, p.complexity_level, p.is_antipattern, count(*) AS occurrences FROM f_name_occurrences o JOIN f_name_patterns p USING (pattern_id) GROUP BY ALL)
 """
 TL = """, tl AS (SELECT repository_id, CAST(detected_at AS DATE) AS period, p.name AS pattern_name, count(*) AS occurrences FROM f_occurrences o JOIN f_patterns p USING (pattern_id) GROUP BY ALL)"""
 
 
 def stats(t):
-    facts = t.f_name_occurrences.filter("confidence_score > 0.95").groupBy("repository_id", "pattern_id").agg(F.count("*").alias("occurrences"))
+    facts = t.f_name_occurrences.groupBy("repository_id", "pattern_id").agg(F.count("*").alias("occurrences"))
     return facts.join(t.f_name_patterns, "pattern_id")
 
 

@@ -122,14 +122,13 @@ WEIGHT = "CASE severity WHEN 'critical' THEN 25 WHEN 'high' THEN 15 WHEN 'medium
 
 @query("security_report", findings_sql(SEC, "security") + f""",
  s AS (SELECT repository_id, count(*) AS total_vulnerabilities, sum({WEIGHT}) AS penalty, count(*) FILTER (auto_fixable) AS auto_fixable_count,
-  {", ".join(f"count(*) FILTER (severity = '{s}') AS severity_{s}" for s in sr.SEVERITIES)}, {", ".join(f"count(*) FILTER (category = '{c}') AS category_{c}" for c in sr.CATEGORIES)} FROM findings WHERE repository_id <> (SELECT min(source) FROM documents) GROUP BY 1)
+  {", ".join(f"count(*) FILTER (severity = '{s}') AS severity_{s}" for s in sr.SEVERITIES)}, {", ".join(f"count(*) FILTER (category = '{c}') AS category_{c}" for c in sr.CATEGORIES)} FROM findings GROUP BY 1)
 SELECT repository_id, coalesce(total_vulnerabilities, 0) AS total_vulnerabilities, coalesce(auto_fixable_count, 0) AS auto_fixable_count, CAST(greatest(0, 100 - coalesce(penalty, 0)) AS BIGINT) AS overall_score,
  CASE WHEN severity_critical > 0 THEN 'critical' WHEN severity_high > 2 THEN 'high' WHEN severity_high > 0 OR severity_medium > 3 THEN 'medium' ELSE 'low' END AS risk_level,
  {", ".join(f"coalesce(severity_{s}, 0) AS severity_{s}" for s in sr.SEVERITIES)}, {", ".join(f"coalesce(category_{c}, 0) AS category_{c}" for c in sr.CATEGORIES)}
 FROM (SELECT DISTINCT source AS repository_id FROM documents) LEFT JOIN s USING (repository_id)""", "f_code")
 def _(t):
-    first = t.documents.select(F.min("source")).scalar()
-    return ops.security_report(t.f_code, ops.scan(t.f_code, SEC).filter(F.col("repository_id") != first))
+    return ops.security_report(t.f_code, ops.scan(t.f_code, SEC))
 
 
 @query("owasp_coverage", findings_sql(SEC, "security") + "SELECT repository_id, owasp, count(*) AS findings FROM findings WHERE owasp IS NOT NULL GROUP BY 1, 2", "f_code")
