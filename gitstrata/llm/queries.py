@@ -98,7 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op6_repeated_windows": r"""
         WITH d AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
         ), windows AS (
             SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h
             FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)
@@ -109,10 +109,10 @@ ORACLE: dict[str, str] = {
         ), kept AS (
             SELECT d.doc_id, len(w) AS n, w, coalesce(g, []) AS g FROM d LEFT JOIN gone USING (doc_id)
         ), marked AS (
-            SELECT doc_id, n, len(g) AS m, w, list_sort(list_filter(range(1, n + 1), i -> NOT list_contains(g, i))) AS left_over FROM kept
+            SELECT doc_id, n, len(g) AS m, w, list_sort(list_filter(range(1, n + 1), lambda i: NOT list_contains(g, i))) AS left_over FROM kept
         )
         SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed,
-               sha256(array_to_string(list_transform(left_over, i -> w[i]), ' ')) AS kept_sha256
+               sha256(array_to_string(list_transform(left_over, lambda i: w[i]), ' ')) AS kept_sha256
         FROM marked
     """,
 }
