@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, PERIOD, CHUNK = 16, 1000, 50_000
+BLOCK, PERIOD, CHUNK = 16, 1000, 4_000
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -82,7 +82,7 @@ def phases(blocks: dict[str, int], targets: dict[str, float], period: int) -> di
 
 def mix(
     docs: DataFrame, targets: dict[str | None, float] | None = None, source: str = "source", by: list[str] | None = None,
-    block: int = BLOCK, period: int = PERIOD, seed: int = 3,
+    block: int = BLOCK, period: int = PERIOD, seed: int = 3, chunk_rows: int = CHUNK,
 ) -> DataFrame:
     """``docs`` with ``block`` (number within the source) and ``position`` (0 onwards without gaps).
 
@@ -109,7 +109,7 @@ def mix(
             k = blocks[s] - 1 - p["first"]
             short.append((p["start"] + k // p["slots"] * p["period"] + p["places"][k % p["slots"]], block - n % block))
     # Number the rows of a source: chunks of its hash order, then rows within a chunk.
-    bits = max(0, math.ceil(math.log2(max(sizes.values()) / CHUNK)))
+    bits = max(0, math.ceil(math.log2(max(sizes.values()) / chunk_rows)))
     chunk = F.shiftright("mix_order", 64 - bits) if bits else F.lit(0).cast("long")
     rows = rows.withColumn("mix_chunk", chunk)
     per = rows.groupBy("mix_source", "mix_chunk").count()

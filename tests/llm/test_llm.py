@@ -329,7 +329,7 @@ def test_communication_matrix_is_exact_and_uniform():
 
 
 def test_pfair_mix(spark, docs, nothing):
-    rows = pfair_mix.mix(docs, block=2, period=30).orderBy("position").collect()
+    rows = pfair_mix.mix(docs, block=2, period=30, chunk_rows=5).orderBy("position").collect()
     assert [r.position for r in rows] == list(range(docs.count()))
     table = spark.range(900).select("id", F.when(F.col("id") < 600, "a").when(F.col("id") < 800, "b").otherwise("c").alias("source"))
     weights = {"a": 3.0, "b": 2.0, "c": 1.0, "absent": 5.0}
