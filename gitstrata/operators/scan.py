@@ -141,23 +141,19 @@ def _matching_pairs(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return pairs.join(_rule_table(files, rules), "number")
 
 
-def match_lines(content: Column, regex: Column) -> Column:
-    """Line number of every match: line breaks before it, plus one.
+#: Put before every match; not a character of any text, and blanked where a broken text has it.
+MARK = "\uffff"
 
-    The text between matches and the matches themselves are cut apart, their line
-    breaks counted, and the counts summed up to each match.
+
+def matched_lines(content: Column, regex: Column) -> Column:
+    """``(line_number, text)`` of every line in which a match begins; ``text`` has ``MARK`` before each of them.
+
+    One pass: the marks go in where the expression matches the whole text, then the
+    text is cut at its line breaks.
     """
-    breaks = lambda text: F.regexp_count(text, F.lit("\n"))
-    found = F.regexp_extract_all(content, regex, F.lit(0))
-    gaps = F.transform(F.split(content, regex, -1), breaks)
-    inside = F.transform(found, breaks)
-    add = lambda total, n: total + n
-    return F.transform(
-        found,
-        lambda _, i: F.lit(1)
-        + F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), add)
-        + F.aggregate(F.slice(inside, F.lit(1), i), F.lit(0), add),
-    )
+    marked = F.regexp_replace(F.translate(content, MARK, " "), regex, F.lit(MARK + "$0"))
+    lines = F.transform(F.split(marked, "\n", -1), lambda text, i: F.struct((i + 1).alias("line_number"), text.alias("text")))
+    return F.filter(lines, lambda line: line["text"].contains(MARK))
 
 
 def security_confidence(name: Column, line: Column) -> Column:
@@ -192,10 +188,10 @@ def scan(files: DataFrame, rules: Sequence[Rule], kind: str = "security", dedupe
     ``dedupe=True`` keeps the first of them.
     """
     rules = numbered(rules)
-    located = _matching_pairs(files.select("repository_id", "path", "content", "language"), rules).withColumn(
-        "line_number", F.explode(match_lines(F.col("content"), F.col("regex")))
-    )
-    line = F.element_at(F.split("content", "\n"), F.col("line_number"))
+    pairs = _matching_pairs(files.select("repository_id", "path", "content", "language"), rules)
+    located = pairs.withColumn("hit", F.explode(matched_lines(F.col("content"), F.col("regex")))).drop("content", "regex")
+    line = F.translate("hit.text", MARK, "")
+    matches = F.length("hit.text") - F.length(line)
     judged = performance_confidence if kind == "performance" else security_confidence
     name, number = F.col("name"), F.col("line_number")
     if kind == "performance":
@@ -203,7 +199,7 @@ def scan(files: DataFrame, rules: Sequence[Rule], kind: str = "security", dedupe
     else:
         key = F.substring(F.md5(F.concat_ws(":", name, "path", number.cast("string"))), 1, 12)
     findings = (
-        located.withColumn("line", line)
+        located.select("*", F.col("hit.line_number").alias("line_number"), line.alias("line"), F.explode(F.sequence(F.lit(1), matches)).alias("nth"))
         .select(
             key.alias("finding_id"), "repository_id", "path", "line_number", F.col("number").alias("rule_number"), "family", "name",
             "severity", "category", "cwe", "owasp", "level",
@@ -241,7 +237,8 @@ def scan_lines(files: DataFrame, rules: Sequence[Rule] | None = None) -> DataFra
     rules = numbered(rules if rules is not None else line_pattern_rules())
     lines = F.transform(F.split("content", "\n"), lambda text, i: F.struct((i + 1).alias("line_number"), text.alias("text")))
     pairs = _matching_pairs(files.select("repository_id", "path", "content", "language"), rules)
-    hits = pairs.withColumn("hit", F.explode(F.filter(lines, lambda x: F.regexp_like(x["text"], F.col("regex")))))
+    # regexp_instr keeps the expression compiled from line to line, regexp_like does not.
+    hits = pairs.withColumn("hit", F.explode(F.filter(lines, lambda x: F.regexp_instr(x["text"], F.col("regex")) > 0)))
     return hits.select(
         "repository_id", F.col("path").alias("file_path"), F.col("number").alias("rule_number"), "family",
         F.initcap(F.replace("name", F.lit("_"), F.lit(" "))).alias("pattern_name"), "category",

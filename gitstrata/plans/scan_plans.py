@@ -23,9 +23,28 @@ def re2(rule_or_rx, ignore_case=None) -> str:
     return f"(?m{'i' if case else ''})" + rx.replace("\\w", "[\\p{L}\\p{N}_]")
 
 
-def plain(rules):
-    """Rules that RE2 can read: no look-ahead, no back-reference."""
-    return [r for r in rules if "(?!" not in r.regex and "\\1" not in r.regex]
+def without_look(r) -> tuple[str, str | None, str | None]:
+    """The expression as RE2 can read it, and what must hold of the text after its match: ``(expression, scope, test)``.
+
+    ``A(?!.*B)``: no B in the rest of the line; ``A(?![\\s\\S]*B)``: no B in the rest of the
+    text; ``A(?!B)``: no B right there. A back-reference names a function that its own body calls again.
+    """
+    flag = "(?i)" if r.ignore_case or r.regex.startswith("(?i)") else ""
+    if "\\1" in r.regex:
+        return r.regex[: r.regex.index("\\s*[^")], "again", flag
+    if "(?!" not in r.regex:
+        return r.regex, None, None
+    head, tail = r.regex.split("(?!")
+    tail = tail[:-1]
+    for start, scope in ((".*", "line"), ("[\\s\\S]*", "text")):
+        if tail.startswith(start):
+            return head, scope, flag + tail[len(start) :]
+    return head, "text", f"{flag}\\A{tail}"
+
+
+# The match that ends where the line goes on may also give back what it took of later lines.
+HOLDS = r"""CASE scope WHEN 'text' THEN NOT regexp_matches(rest, test) WHEN 'line' THEN contains(split_part(m[k], '(', 2), chr(10)) OR NOT regexp_matches(split_part(rest, chr(10), 1), test)
+  WHEN 'again' THEN regexp_matches(rest, test || '\A' || CASE WHEN starts_with(lower(m[k]), 'def') THEN '\s*[^{]*' ELSE '\s*[^}]*' END || 'return.*' || regexp_extract(m[k], '^\w+\s+([\p{L}\p{N}_]+)', 1) || '\s*[(]') ELSE true END"""
 
 
 def rule_values(rules) -> str:
@@ -41,7 +60,9 @@ def hits(rules) -> str:
     out = []
     for i, r in enumerate(rules):
         gate = f"language IN ({', '.join(lit(x) for x in r.languages)}) AND " if r.languages else ""
-        out.append(f"SELECT repository_id, path, content, {i} AS number, regexp_extract_all(content, {lit(re2(r))}) AS m, string_split_regex(content, {lit(re2(r))}) AS p FROM f_code WHERE {gate}regexp_matches(content, {lit(re2(r))})")
+        head, scope, test = without_look(r)
+        rx = lit(re2(head, r.ignore_case))
+        out.append(f"SELECT repository_id, path, content, {i} AS number, {lit(scope)} AS scope, {lit(test)} AS test, regexp_extract_all(content, {rx}) AS m, string_split_regex(content, {rx}) AS p FROM f_code WHERE {gate}regexp_matches(content, {rx})")
     return "h AS (" + " UNION ALL ".join(out) + ")"
 
 
@@ -61,17 +82,26 @@ def findings_sql(rules, kind: str) -> str:
 WITH {rule_values(rules)}, {hits(rules)}, hits AS (SELECT * FROM h JOIN r USING (number)),
  ks AS (SELECT *, unnest(generate_series(1, len(m))) AS k FROM hits),
  bs AS (SELECT *, array_to_string(list_concat(p[1:k], m[1:k - 1]), '') AS before FROM ks),
- ln AS (SELECT *, CAST(1 + {NL.format(x='before')} AS INTEGER) AS line_number FROM bs),
+ rs AS (SELECT *, substr(content, length(before) + length(m[k]) + 1) AS rest FROM bs),
+ ln AS (SELECT *, CAST(1 + {NL.format(x='before')} AS INTEGER) AS line_number FROM rs WHERE {HOLDS}),
  fs AS (SELECT *, string_split(content, chr(10))[line_number] AS line, lower(line) AS ll FROM ln),
  findings AS (SELECT {key} AS finding_id, repository_id, path, line_number, number AS rule_number, family, name, severity, category, owasp, auto_fixable, trim(line) AS snippet,
   round(coalesce(fixed, least(1.0, greatest(0.1, {score}))), 9) AS confidence FROM fs)
 """
 
 
-SEC, PERF = plain(ops.security_rules()), plain(ops.performance_rules())
+SEC, PERF = ops.security_rules(), ops.performance_rules()
 SHOWN = "finding_id, repository_id, path, line_number, family, name, severity, category, snippet, confidence, auto_fixable"
 
 
+def text_files(t):
+    """The documents as files."""
+    return t.documents.select(F.col("source").alias("repository_id"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), F.col("lang").alias("language"))
+
+
+TEXT_FILES = "SELECT source AS repository_id, CAST(doc_id AS VARCHAR) AS path, text AS content, lang AS language FROM documents"
+
+
 def shown(df):
     return df.select(*[F.round("confidence", 9).alias("confidence") if c == "confidence" else c for c in SHOWN.split(", ")])
 
@@ -81,11 +111,6 @@ def _(t):
     return shown(ops.scan(t.f_code, SEC))
 
 
-@query("security_scan_lookahead")
-def _(t):
-    return shown(ops.scan(t.f_code, [r for r in ops.security_rules() if "(?!" in r.regex]))
-
-
 @query("security_findings_deduped", findings_sql(SEC, "security") + "SELECT finding_id, count(*) > 0 AS present, min(name) AS name, min(line_number) AS line_number FROM findings GROUP BY 1", "f_code")
 def _(t):
     return ops.scan(t.f_code, SEC, dedupe=True).select("finding_id", F.lit(True).alias("present"), "name", "line_number")
@@ -96,18 +121,13 @@ def _(t):
     return shown(ops.scan(t.f_code, PERF, "performance"))
 
 
-@query("performance_scan_lookahead")
-def _(t):
-    rest = [r for r in ops.performance_rules() if "(?!" in r.regex or "\\1" in r.regex]
-    return shown(ops.scan(t.f_code, rest, "performance"))
+SECRETS = [r for r in SEC if r.name == "hardcoded_secrets"]
 
 
 @query("secret_scan_documents", f"""
-WITH h AS (SELECT doc_id, regexp_extract_all(text, {lit(sr.SECURITY[3][5][0])}) AS m FROM documents) SELECT doc_id, len(m) AS findings FROM h WHERE len(m) > 0""")
+WITH h AS (SELECT doc_id, {" + ".join(f"len(regexp_extract_all(text, {lit(re2(r))}))" for r in SECRETS)} AS findings FROM documents) SELECT doc_id, findings FROM h WHERE findings > 0""")
 def _(t):
-    files = t.documents.select(F.col("source").alias("repository_id"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), F.col("lang").alias("language"))
-    rule = [r for r in ops.security_rules() if r.name == "hardcoded_secrets"][:1]
-    return ops.scan(files, rule).groupBy(F.col("path").cast("long").alias("doc_id")).agg(F.count("*").alias("findings"))
+    return ops.scan(text_files(t), SECRETS).groupBy(F.col("path").cast("long").alias("doc_id")).agg(F.count("*").alias("findings"))
 
 
 @query("finding_fixes", findings_sql(SEC, "security") + """
@@ -137,17 +157,15 @@ def _(t):
 
 
 @query("performance_metrics", findings_sql(PERF, "performance") + f""",
- few AS (SELECT * FROM findings WHERE name IN ('nested_loops', 'js_array', 'python_list_comp')),
  s AS (SELECT repository_id, count(*) AS total_issues, sum({WEIGHT}) AS penalty, {", ".join(f"coalesce(sum({WEIGHT}) FILTER (category = '{c}'), 0) AS p_{c}" for c in ("algorithmic", "memory", "io", "concurrency", "resource_management"))},
-  count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium FROM few GROUP BY 1)
+  count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium FROM findings GROUP BY 1)
 SELECT repository_id, coalesce(total_issues, 0) AS total_issues, coalesce(critical, 0) AS critical_issues, coalesce(high, 0) AS high_priority_issues,
  CASE WHEN total_issues IS NULL THEN 95.0::DOUBLE ELSE greatest(0.0, 100.0 - penalty)::DOUBLE END AS overall_score,
  {", ".join(f"CASE WHEN total_issues IS NULL THEN 95.0::DOUBLE ELSE greatest(0.0, 100.0 - p_{c})::DOUBLE END AS {c}_score" for c in ("algorithmic", "memory", "io", "concurrency", "resource_management"))},
  CASE WHEN critical > 0 OR high > 2 THEN 'high' WHEN high > 0 OR medium > 3 THEN 'medium' ELSE 'low' END AS estimated_impact
 FROM (SELECT DISTINCT source AS repository_id FROM documents) LEFT JOIN s USING (repository_id)""", "f_code")
 def _(t):
-    few = [r for r in PERF if r.name in ("nested_loops", "js_array", "python_list_comp")]
-    return ops.performance_metrics(t.f_code, ops.scan(t.f_code, few, "performance"))
+    return ops.performance_metrics(t.f_code, ops.scan(t.f_code, PERF, "performance"))
 
 
 @query("performance_counts", findings_sql(PERF, "performance") + f"""

@@ -6,15 +6,18 @@ from pyspark.sql import functions as F
 
 from gitstrata.operators import scan as scans
 from gitstrata.plans.registry import query
-from gitstrata.plans.scan_plans import SEC
+from gitstrata.plans.scan_plans import SEC, TEXT_FILES, findings_sql
 from gitstrata.session import shared_folder
 from gitstrata.streaming import jobs
 
 
+FILES_PER_BATCH = 64
+
+
 def source(t, table: str, columns: dict[str, str]):
     """A stream over the table's file with its time column as a timestamp."""
     t.spark.conf.set("spark.sql.session.timeZone", "UTC")
-    raw = jobs.read_stream(t.spark, t.sf_dir, getattr(t, table).schema, f"{table}.parquet")
+    raw = jobs.read_stream(t.spark, t.sf_dir, getattr(t, table).schema, f"{table}.parquet", FILES_PER_BATCH)
     return raw.withColumns({name: F.expr(text) for name, text in columns.items()})
 
 
@@ -24,6 +27,13 @@ def finished(t, stream, mode: str = "append"):
     return t.spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
+def merged(t, stream, part, merge):
+    """All rows of a stream, as parts per micro-batch put together."""
+    root = shared_folder(t.spark, "stream")
+    jobs.write_parts(stream, part, f"{root}/parts", f"{root}/checkpoint").awaitTermination()
+    return merge(t.spark.read.parquet(f"{root}/parts"))
+
+
 def events(t):
     return source(t, "events", {
         "ts": "cast(ts as timestamp)", "repository_id": "cast(user_id % 20 as string)", "pattern_id": "event_type", "detected_at": "cast(ts as timestamp)", "name": "event_type",
@@ -31,17 +41,16 @@ def events(t):
 
 
 @query("stream_timeline", """
-SELECT CAST(user_id % 20 AS VARCHAR) AS repository_id, CAST(ts AS DATE) AS period, event_type AS pattern_id, count(*) AS occurrences FROM events
-WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2, 3""")
+SELECT CAST(user_id % 20 AS VARCHAR) AS repository_id, CAST(ts AS DATE) AS period, event_type AS pattern_id, count(*) AS occurrences FROM events GROUP BY 1, 2, 3""")
 def _(t):
-    return finished(t, jobs.stream_timeline(events(t).drop("ts")))
+    return merged(t, events(t), jobs.timeline_part, jobs.merge_timeline)
 
 
 @query("stream_metric_average", """
 WITH w AS (SELECT event_type AS name, value, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 5 HOUR, time_bucket(INTERVAL 1 HOUR, ts), INTERVAL 1 HOUR)) AS window_start FROM events)
-SELECT name, window_start, window_start + INTERVAL 6 HOUR AS window_end, round(avg(value), 6) AS average, count(*) AS points FROM w WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""")
+SELECT name, window_start, window_start + INTERVAL 6 HOUR AS window_end, round(avg(value), 6) AS average, count(*) AS points FROM w GROUP BY 1, 2""")
 def _(t):
-    out = finished(t, jobs.stream_metric_average(events(t), "6 hours", "1 hour", "1 hour"))
+    out = merged(t, events(t), lambda rows: jobs.average_part(rows, "6 hours", "1 hour"), jobs.merge_average)
     return out.withColumn("average", F.round("average", 6)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
@@ -63,7 +72,7 @@ def _(t):
     commits = source(t, "orders", {"repository_id": "cast(o_custkey % 50 as string)", "hash": "cast(o_orderkey as string)", "committed_date": "cast(o_orderdate as timestamp)"})
     twice = commits.select("repository_id", "hash", "committed_date", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
     root = shared_folder(t.spark, "commits")
-    jobs.write_batches(jobs.stream_new_commits(twice), jobs.commit_merger(f"{root}/table"), f"{root}/checkpoint").awaitTermination()
+    jobs.write_batches(twice, jobs.commit_merger(f"{root}/table"), f"{root}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{root}/table").select("repository_id", "hash")
 
 
@@ -82,7 +91,7 @@ def _(t):
     return jobs.session_status(t.f_sessions, "turn")
 
 
-@query("stream_scan")
+@query("stream_scan", findings_sql(SEC, "security").replace("WITH ", f"WITH f_code AS ({TEXT_FILES}), ", 1) + "SELECT repository_id, path, name, line_number, severity FROM findings")
 def _(t):
     files = source(t, "documents", {"repository_id": "source", "path": "cast(doc_id as string)", "content": "text", "language": "lang"})
     root = shared_folder(t.spark, "scan")
@@ -90,14 +99,16 @@ def _(t):
     def scan(batch):
         return scans.scan(batch, SEC).select("repository_id", "path", "name", "line_number", "severity")
 
-    jobs.write_batches(files.select("repository_id", "path", "content", "language"), jobs.file_scanner(f"{root}/results", f"{root}/snapshot", scan), f"{root}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{root}/results/v1")
+    step = jobs.file_scanner(f"{root}/results", f"{root}/snapshot", scan)
+    run = jobs.write_batches(files.select("repository_id", "path", "content", "language"), step, f"{root}/checkpoint")
+    run.awaitTermination()
+    return t.spark.read.parquet(f"{root}/results/v{jobs.last_batch(run) + 1}")
 
 
 @query("stream_usage", """
 WITH w AS (SELECT 'model' || CAST(l_suppkey % 5 AS VARCHAR) AS model_name, time_bucket(INTERVAL 30 DAY, l_shipdate, TIMESTAMP '1970-01-01') AS period_start, l_partkey, l_tax FROM lineitem)
-SELECT model_name, period_start, count(*) AS analyses, CAST(sum(l_partkey) AS BIGINT) AS total_tokens, round(sum(l_tax), 6) AS total_cost FROM w WHERE period_start + INTERVAL 30 DAY <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 30 DAY GROUP BY 1, 2""")
+SELECT model_name, period_start, count(*) AS analyses, CAST(sum(l_partkey) AS BIGINT) AS total_tokens, round(sum(l_tax), 6) AS total_cost FROM w GROUP BY 1, 2""")
 def _(t):
     rows = source(t, "lineitem", {"model_name": "concat('model', cast(l_suppkey % 5 as string))", "total_tokens": "l_partkey", "cost_estimate": "l_tax", "created_at": "cast(l_shipdate as timestamp)"})
-    out = finished(t, jobs.stream_usage(rows))
+    out = merged(t, rows, jobs.usage_part, jobs.merge_usage)
     return out.withColumn("total_cost", F.round("total_cost", 6)).withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))

@@ -149,3 +149,52 @@ def stream_usage(results: DataFrame, length: str = "30 days", delay: str = "30 d
         F.count("*").alias("analyses"), F.sum("total_tokens").alias("total_tokens"), F.sum("cost_estimate").alias("total_cost")
     )
     return sums.select("model_name", F.col("window.start").alias("period_start"), "analyses", "total_tokens", "total_cost")
+
+
+def write_parts(stream: DataFrame, part: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """``part`` of every micro-batch, each in a folder of its own; a retried batch overwrites its own only.
+
+    Sums and counts of parts add up to those of all rows (see the ``merge_`` functions),
+    so no row is late, no window is unfinished, and no state is kept: the way to
+    take in history. The watermarked jobs above are for live data.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        part(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return write_batches(stream, write, checkpoint)
+
+
+def timeline_part(occ: DataFrame) -> DataFrame:
+    return occ.groupBy("repository_id", F.to_date("detected_at").alias("period"), "pattern_id").agg(F.count("*").alias("occurrences"))
+
+
+def merge_timeline(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("repository_id", "period", "pattern_id").agg(F.sum("occurrences").alias("occurrences"))
+
+
+def average_part(metrics: DataFrame, length: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """Sum and number of points of each metric and sliding window."""
+    sums = metrics.groupBy(F.window("ts", length, slide), "name").agg(F.sum("value").alias("total"), F.count("value").alias("n_values"), F.count("*").alias("points"))
+    return sums.select("name", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "total", "n_values", "points")
+
+
+def merge_average(parts: DataFrame) -> DataFrame:
+    mean = F.try_divide(F.sum("total"), F.sum("n_values"))
+    return parts.groupBy("name", "window_start", "window_end").agg(mean.alias("average"), F.sum("points").alias("points"))
+
+
+def usage_part(results: DataFrame, length: str = "30 days") -> DataFrame:
+    sums = results.groupBy(F.window("created_at", length), "model_name").agg(
+        F.count("*").alias("analyses"), F.sum("total_tokens").alias("total_tokens"), F.sum("cost_estimate").alias("total_cost")
+    )
+    return sums.select("model_name", F.col("window.start").alias("period_start"), "analyses", "total_tokens", "total_cost")
+
+
+def merge_usage(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("model_name", "period_start").agg(*[F.sum(c).alias(c) for c in ("analyses", "total_tokens", "total_cost")])
+
+
+def last_batch(query: StreamingQuery) -> int:
+    """Number of the last micro-batch that read rows."""
+    return max(p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0)
