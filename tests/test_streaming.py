@@ -102,6 +102,36 @@ def test_scanner_touches_only_changed_files(spark, root):
     assert got == {("a", 1), ("b", 2), ("c", 1)}
 
 
+def test_parts_lose_nothing_in_many_small_batches(spark, root):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), rng.randrange(40 * 86400), float(rng.randrange(100))) for i in range(300)]  # in no order
+    for n in range(6):
+        write(spark, f"{root}/in", n, rows[n * 50 : n * 50 + 50])
+    shape = lambda df: df.withColumns({"repository_id": F.col("user_id"), "pattern_id": F.col("name"), "detected_at": F.col("ts")})
+    stream = shape(jobs.read_stream(spark, f"{root}/in/*", SCHEMA, files_per_batch=1))
+    batch = shape(spark.read.schema(SCHEMA).parquet(f"{root}/in/*"))
+    average = lambda df: jobs.average_part(df, "2 hours", "1 hour")
+    for name, part, merge in (("timeline", jobs.timeline_part, jobs.merge_timeline), ("average", average, jobs.merge_average)):
+        run = jobs.write_parts(stream, part, f"{root}/{name}", f"{root}/{name}-checkpoint")
+        run.awaitTermination()
+        assert jobs.last_batch(run) == 5
+        key = lambda df: sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+        assert key(merge(spark.read.parquet(f"{root}/{name}"))) == key(merge(part(batch)))
+    assert merge(spark.read.parquet(f"{root}/average")).agg(F.sum("points")).first()[0] == 600  # two windows each
+
+
+def test_commits_survive_many_small_batches(spark, root):
+    schema = "repository_id string, hash string, committed_date timestamp"
+    days = list(range(0, 400, 10))
+    random.Random(1).shuffle(days)
+    for n, day in enumerate(days[:6]):
+        rows = [("r", str(d), START + dt.timedelta(days=d)) for d in (day, days[0])]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{root}/in/part{n}")
+    stream = jobs.read_stream(spark, f"{root}/in/*", schema, files_per_batch=1)
+    jobs.write_batches(stream, jobs.commit_merger(f"{root}/table"), f"{root}/checkpoint").awaitTermination()
+    assert sorted(r.hash for r in spark.read.parquet(f"{root}/table").collect()) == sorted(map(str, days[:6]))
+
+
 def test_session_status(spark):
     rows = spark.createDataFrame(pd.DataFrame({"session_id": ["s", "s", "t"], "turn": [1, 2, 1], "status": ["running", "completed", "running"]}))
     got = {r.session_id: (r.status, r.is_open) for r in jobs.session_status(rows, "turn").collect()}
