@@ -120,9 +120,11 @@ def code_blocks(files: DataFrame) -> DataFrame:
     return files.select("repository_id", "path", "language", "content").mapInPandas(extract, SCHEMA)
 
 
-def candidates(blocks: DataFrame, n: int = 50) -> DataFrame:
-    """The ``n`` longest blocks of each repository in a known language."""
+def candidates(blocks: DataFrame, n: int | None = None) -> DataFrame:
+    """The ``n`` longest blocks of each repository in a known language, with their ``position``; all, unranked, by default."""
     fit = blocks.filter((F.col("language") != "Other") & (F.length("code") > rules.MIN_CANDIDATE))
+    if n is None:
+        return fit
     return top_n_per_key(fit, ["repository_id"], [F.desc(F.length("code")), F.col("path"), F.col("start_line"), F.col("code")], n, rank="position")
 
 

@@ -15,8 +15,10 @@ def drop_skipped(df: DataFrame, path: str = "file_path") -> DataFrame:
     return df.filter(~is_skipped(path))
 
 
-def recent_commits(commits: DataFrame, n: int = 100) -> DataFrame:
-    """The newest ``n`` commits of each repository."""
+def recent_commits(commits: DataFrame, n: int | None = None) -> DataFrame:
+    """The newest ``n`` commits of each repository; all of them by default."""
+    if n is None:
+        return commits
     return top_n_per_key(commits, ["repository_id"], [F.desc("committed_date"), F.col("hash")], n)
 
 

@@ -177,10 +177,9 @@ def _(t):
     return ops.tech_top(t.f_technologies).select("repository_id", "folded", "name", "usage", "position")
 
 
-@query("technologies_by_category", f"SELECT repository_id, {FOLD} AS folded, string_agg(name, '|' ORDER BY name) AS names FROM f_technologies GROUP BY 1, 2", "f_technologies")
+@query("technologies_by_category", f"SELECT repository_id, {FOLD} AS folded, name, category FROM f_technologies", "f_technologies")
 def _(t):
-    out = ops.technologies_by_category(t.f_technologies)
-    return out.groupBy("repository_id", "folded").agg(F.array_join(F.array_sort(F.collect_list("name")), "|").alias("names"))
+    return ops.technologies_by_category(t.f_technologies).select("repository_id", "folded", "name", "category")
 
 
 @query("tech_edges", f"SELECT DISTINCT repository_id, 'central' AS source, 'category-' || {FOLD} AS target FROM f_technologies UNION ALL SELECT DISTINCT repository_id, 'category-' || {FOLD}, name FROM f_technologies", "f_technologies")
