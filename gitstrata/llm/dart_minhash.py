@@ -13,9 +13,9 @@ Documents are sets of five-word runs (all words, for shorter texts) of weight on
 counts with ``weighted=True``. Equal texts share one node and are never compared. Nodes
 that share a band of ``ROWS`` coordinates meet in a bucket; there each is compared with
 three central members only, so a bucket of any size gives a linear number of pairs. Where
-a bucket still holds several groups, the pairs between the groups are tested inside a join
-that lets only similar ones out, unless an exact bound (sizes and elements that no other candidate has)
-or the sketch rules them out first. All links are decided by the exact similarity.
+a bucket still holds several groups, its nodes go through an exact join on their rarest elements
+(two similar sets share one of these; common passages are not among them), where sizes, places and
+sketches rule pairs out. All links are decided by the exact similarity.
 
 Defined cases: equal texts, empty ones too, always form a class; a NULL text is an empty
 text; texts without a word have no near copies; rows without id follow the class of
@@ -188,6 +188,22 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(both >= similarity * either - 1e-9).select("a", "b")
 
 
+def _rarest(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(node, item, left)``: the rarest items of each set, and how many of its items are not rarer.
+
+    All sets are ordered alike, by rarity among ``sets(node, items)``. Of two sets of at least the
+    asked similarity, the first item in common is among these of both.
+    """
+    items = sets.select("node", F.explode("items").alias("item"))
+    df = items.groupBy("item").agg(F.count("node").alias("df"))
+    entry = F.struct("df", "item")
+    ordered = items.join(df, "item").groupBy("node").agg(F.array_sort(F.collect_list(entry)).alias("o"))
+    n = F.size("o")
+    head = F.slice("o", F.lit(1), (n - F.ceil(similarity * n - 1e-9) + 1).cast("int"))
+    out = ordered.select("node", n.alias("size"), F.posexplode(head).alias("at", "e")).filter("e.df > 1")
+    return out.select("node", F.col("e.item").alias("item"), (F.col("size") - F.col("at")).alias("left"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links(a, b)``: the smallest node of its component.
 
@@ -248,25 +264,18 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = Fa
     )
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
     open_nodes = written(placed.join(mixed, "key"), "mixed")
-    items = sets.select("node", F.size("items").alias("n"), F.explode("items").alias("item"))
-    alone = items.groupBy("item").agg(F.count("node").alias("df"), F.first("node").alias("node")).filter("df = 1")
-    own = alone.groupBy("node").agg(F.count("item").alias("own"))
-    sized = sets.join(own, "node", "left").join(met.select("node", "keys"), "node").select(
-        F.col("node").alias("n_node"), "keys", "items", F.size("items").alias("n"), (F.size("items") - F.coalesce("own", F.lit(0))).alias("common")
-    )
-    # common / n bounds every similarity of a node from above.
-    rest = open_nodes.join(sized.filter(F.col("common") >= similarity * F.col("n") - 1e-9), node == F.col("n_node"))
-    rest = rest.select("key", "m", "root", "n", "common", "keys", "items")
+    sized = sets.join(open_nodes.groupBy(node.alias("node")).agg(F.min("root").alias("root"), F.first("m").alias("m")), "node")
+    rare = _rarest(sized.select("node", "items"), similarity).join(sized.select("node", "root", "m", F.size("items").alias("n")), "node")
+    rare = written(rare, "rarest")
+    several = rare.groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("item")
+    rest = rare.join(several, "item").select("item", "root", "n", "left", "m")
     x, y = rest.alias("x"), rest.alias("y")
-    most = F.least(F.col("x.common"), F.col("y.common"))
+    # What two sets share lies at or after the shared item in both orders.
+    most = F.least(F.col("x.left"), F.col("y.left"))
     possible = most >= similarity * (F.col("x.n") + F.col("y.n") - most) - 1e-9
-    # A pair is tested in the first of its buckets only, and only a similar one leaves the join.
-    equal = F.filter(F.zip_with("x.keys", "y.keys", lambda a, b: F.when(a == b, a)), lambda k: k.isNotNull())
-    here = F.element_at(equal, 1) == F.col("x.key")
-    both = F.size(F.array_intersect("x.items", "y.items"))
-    similar = both >= similarity * (F.col("x.n") + F.col("y.n") - both) - 1e-9
-    second = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & possible & _close("x.m", "y.m") & similar & here)
-    more = written(second.select(F.col("x.m.node").alias("a"), F.col("y.m.node").alias("b")), "similar")
+    second = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.root") < F.col("y.root")) & possible & _close("x.m", "y.m"))
+    second = written(second.select(F.col("x.m.node").alias("a"), F.col("y.m.node").alias("b")).distinct(), "pairs")
+    more = written(_linked(second, sets, similarity), "similar")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     return roots, texts
