@@ -130,6 +130,10 @@ def measured(text: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(arrays, names=[*FIELDS, "votes"])
 
 
+#: Spark repeats a deterministic function in the filter and the projection above a join; this one is run once per text.
+measured = measured.asNondeterministic()
+
+
 def base_failed(m: Column) -> Column:
     """Too short, or more than half of the words in repeated windows."""
     return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEATED_PERCENT * m["n_words"])
