@@ -7,7 +7,9 @@ window of every text are joined with those of the benchmark items (an item with
 tokens is one window). Windows of placeholders only say nothing and are left out. Where a document
 holds at least ``SHARE`` of an item's windows, the values in the matched slots are
 compared: within an item, one value must stand for one value throughout
-(``CONSISTENT`` of the slots), as in a question asked again with other values.
+(``CONSISTENT`` of the slots), as in a question asked again with other values. Share and
+values are judged for each occurrence of the item, and for the document as a whole; it is
+found if one of them passes.
 
 Defined cases: NULL and empty texts have no tokens and match nothing; an item without
 usable windows is never found; repeated rows and rows without id are found as any other
@@ -119,8 +121,28 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return _consistent(docs, items, hits, enough)
 
 
+def _runs(places: DataFrame) -> DataFrame:
+    """The places of each pair by ``run``: all of them, those at one distance from the item, and one for each item place near that distance.
+
+    An occurrence lies at one distance; where a value has more or fewer words than the item's, the rest lies a little off.
+    """
+    pair = ["doc_key", "item_id", "item_hash"]
+    places = places.withColumn("off", F.col("at") - F.col("item_at"))
+    runs = places.select(*pair, F.col("off").alias("base"), "reach").distinct()
+    cells = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("base") / F.col("reach")) + i)).alias("cell")
+    near = places.withColumn("cell", F.floor(F.col("off") / F.col("reach"))).drop("reach").join(runs.select("*", cells), [*pair, "cell"])
+    near = near.withColumn("apart", F.abs(F.col("off") - F.col("base"))).filter(F.col("apart") <= F.col("reach"))
+    nearest = near.groupBy(*pair, "base", "item_at").agg(F.min(F.struct("apart", "off", "slots")).alias("nearest"))
+    same = ["item_at", "slots"]
+    return reduce(DataFrame.unionByName, [
+        places.select(*pair, F.struct(F.lit(0).alias("kind"), F.lit(0).alias("base")).alias("run"), *same),
+        places.select(*pair, F.struct(F.lit(1).alias("kind"), F.col("off").alias("base")).alias("run"), *same),
+        nearest.select(*pair, F.struct(F.lit(2).alias("kind"), F.col("base")).alias("run"), "item_at", F.col("nearest.slots").alias("slots")),
+    ])
+
+
 def _consistent(docs: DataFrame, items: DataFrame, hits: DataFrame, enough: DataFrame) -> DataFrame:
-    """Compares what stands in the slots of the matched windows."""
+    """Compares what stands in the slots of the matched windows, for each run; the best run that passes speaks for the document."""
     doc_key = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "text_hash")
     keyed = enough.withColumn("doc_key", F.xxhash64(doc_key))
     wanted = keyed.select("doc_key").distinct()
@@ -131,22 +153,36 @@ def _consistent(docs: DataFrame, items: DataFrame, hits: DataFrame, enough: Data
     places = places.groupBy("doc_key", *named).agg(F.collect_set(F.struct("at", "item_at", "n")).alias("places"))
     told_items = items.select("item_id", F.xxhash64("raw").alias("item_hash"), F.col("raw").alias("item_raw"), F.col("codes").alias("item_codes"))
     both = places.join(told_items, named).join(texts, "doc_key")
-    pairs = F.flatten(F.transform("places", lambda p: F.transform(
-        F.sequence(F.lit(0), p["n"] - 1), lambda i: F.struct((p["at"] + i).alias("at"), (p["item_at"] + i).alias("item_at"))
-    )))
-    slots = F.filter(F.array_distinct(pairs), lambda x: is_slot(F.element_at("item_codes", x["item_at"])))
-    values = F.transform(slots, lambda x: F.struct(F.element_at("item_raw", x["item_at"]).alias("a"), F.element_at("doc_raw", x["at"]).alias("b")))
-    each = both.select("doc_key", *named, F.explode_outer(values).alias("v"))
-    counted = each.groupBy("doc_key", *named, F.col("v.a").alias("a"), F.col("v.b").alias("b")).agg(F.count("v").alias("n"))
-    by_value = counted.groupBy("doc_key", *named, "a").agg(
+
+    def slots(p: Column) -> Column:
+        taken = F.filter(F.sequence(F.lit(0), p["n"] - 1), lambda i: is_slot(F.element_at("item_codes", p["item_at"] + i)))
+        return F.transform(taken, lambda i: F.struct(
+            (p["item_at"] + i).alias("item_at"), (p["at"] + i).alias("at"),
+            F.element_at("item_raw", p["item_at"] + i).alias("a"), F.element_at("doc_raw", p["at"] + i).alias("b"),
+        ))
+
+    reach = F.greatest(F.lit(WINDOW), F.floor(F.size("item_codes") / 2)).cast("int")
+    valued = F.transform("places", lambda p: F.struct(p["at"].alias("at"), p["item_at"].alias("item_at"), reach.alias("reach"), slots(p).alias("slots")))
+    placed = written(both.select("doc_key", *named, F.inline(valued)), "places")
+    runs = _runs(placed).groupBy("doc_key", *named, "run").agg(
+        F.count_distinct("item_at").alias("matched_windows"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("values")
+    )
+    runs = runs.join(keyed.select("doc_key", *named, "item_windows"), ["doc_key", *named])
+    runs = runs.withColumn("share", F.col("matched_windows") / F.col("item_windows")).filter(F.col("share") >= SHARE)
+    group = ["doc_key", *named, "run", "matched_windows", "share"]
+    each = runs.select(*group, F.explode_outer("values").alias("v"))
+    counted = each.groupBy(*group, F.col("v.a").alias("a"), F.col("v.b").alias("b")).agg(F.count("v").alias("n"))
+    by_value = counted.groupBy(*group, "a").agg(
         F.sum("n").alias("n"), F.max("n").alias("most"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same")
     )
-    judged = by_value.groupBy("doc_key", *named).agg(F.sum("n").alias("slots"), F.sum("most").alias("most"), F.sum("same").alias("same"))
+    judged = by_value.groupBy(*group).agg(F.sum("n").alias("slots"), F.sum("most").alias("most"), F.sum("same").alias("same"))
     agreed = F.when(F.col("slots") == 0, F.lit(1.0)).otherwise(F.col("most") / F.col("slots"))
-    out = keyed.join(judged, ["doc_key", *named]).withColumn("consistent", agreed).filter(F.col("consistent") >= CONSISTENT)
-    return out.select(
-        "doc_id", "text_hash", "item_id", "matched_windows", "item_windows", "share", "slots", "consistent", (F.col("same") == F.col("slots")).alias("same_values")
-    )
+    passed = judged.withColumn("consistent", agreed).filter(F.col("consistent") >= CONSISTENT)
+    passed = passed.withColumn("same_values", F.col("same") == F.col("slots"))
+    order = F.struct("same_values", "share", "consistent", -F.col("run.kind"), -F.col("run.base"))
+    best = passed.groupBy("doc_key", *named).agg(F.max_by(F.struct("matched_windows", "share", "slots", "consistent", "same_values"), order).alias("best"))
+    out = keyed.drop("matched_windows", "share").join(best, ["doc_key", *named])
+    return out.select("doc_id", "text_hash", "item_id", "best.matched_windows", "item_windows", "best.share", "best.slots", "best.consistent", "best.same_values")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -286,6 +286,24 @@ def test_template_windows(spark, docs, nothing):
     assert template_windows.report(nothing, items).count() == template_windows.report(docs, items.filter("false")).count() == 0
 
 
+def test_template_windows_judge_each_occurrence(spark):
+    ask = "{} has {} apples and gives {} apples to {}. How many apples does {} have after {} days of work?"
+    verbatim = ask.format("Anna", 3, 2, "Bob", "Anna", 5)
+    again = ask.format("Zoe", 7, 4, "Tom", "Zoe", 9)
+    twice = "A has 3 apples in the box that stands by the old door. B has 5 apples in the box that stands by the old door."
+    longer = ask.format("Mary Ann", 8, 6, "Jim", "Mary Ann", 11)
+    items = spark.createDataFrame([(1, verbatim), (2, twice)], "item_id long, text string")
+    found = [
+        (1, f"{verbatim} Then: {again} And: {ask.format('Kim', 1, 6, 'Max', 'Kim', 8)}"), (2, f"{again} Now {ask.format('Eva', 12, 10, 'Ida', 'Eva', 6)}"),
+        (3, f"So. {twice} End."), (4, ask.format("Zoe", 7, 4, "Tom", "Kim", 9)), (5, f"{longer} {again} {verbatim.replace('Anna', 'Mary Ann')}"),
+    ]
+    docs = spark.createDataFrame(found, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.same_values for r in template_windows.report(docs, items).collect()}
+    assert got.pop((1, 1)) is True and got.pop((2, 1)) is False and got.pop((3, 2)) is True
+    assert (5, 1) in got and all(i == 1 for _, i in got)
+    assert {r.doc_id for r in template_windows.keep(docs, items).collect()} <= {4}
+
+
 def test_license_scan(spark, nothing):
     base = [(i, f"Some words of text number {i}.\nMore of it, quite plain.") for i in range(60)]
     said = {
