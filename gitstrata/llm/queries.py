@@ -79,7 +79,7 @@ def op8_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark item is found, word for word or with other values."""
-    return template_windows.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return template_windows.findings(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

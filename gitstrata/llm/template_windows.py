@@ -11,13 +11,18 @@ compared: within an item, one value must stand for one value throughout
 values are judged for each occurrence of the item, and for the document as a whole; it is
 found if one of them passes.
 
+Beside the template path, ``findings`` and ``keep`` look for exact text: the same windows
+over lower-cased tokens as they stand, whatever they are. One window of an item (all of an
+item shorter than a window) that matches word for word is a find, whatever its share.
+
 Defined cases: NULL and empty texts have no tokens and match nothing; an item without
-usable windows is never found; repeated rows and rows without id are found as any other
+usable windows is found by its exact text only; repeated rows and rows without id are found as any other
 (rows equal in id and text once); an empty benchmark or table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -92,18 +97,27 @@ def _usable(codes: Column, at: Column, size: Column) -> Column:
     return F.size(F.filter(F.slice(codes, at, size), lambda x: ~is_slot(x))) >= F.least(F.lit(LITERALS), size)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``(doc_id, text_hash, item_id, matched_windows, item_windows, share, slots, consistent, same_values)`` of the documents found."""
+def word(token: Column) -> Column:
+    """A token's place in the exact text: the hash of its lower case."""
+    return F.xxhash64(F.lower(token))
+
+
+def _tokens(benchmark: DataFrame, coded: Callable[[Column], Column]) -> DataFrame:
+    """``(item_id, raw, codes, n)`` of the items that have tokens; ``n`` is the size of their windows."""
     items = benchmark.select("item_id", raw_tokens(F.col("text")).alias("raw")).filter(F.size("raw") > 0)
-    items = items.withColumn("codes", F.transform("raw", code)).withColumn("n", F.least(F.size("codes"), F.lit(WINDOW)))
-    items = written(items.dropDuplicates(["item_id", "raw"]), "items")
+    items = items.withColumn("codes", F.transform("raw", coded)).withColumn("n", F.least(F.size("codes"), F.lit(WINDOW)))
+    return written(items.dropDuplicates(["item_id", "raw"]), "items")
+
+
+def _hits(docs: DataFrame, items: DataFrame, coded: Callable[[Column], Column], usable: Callable[..., Column]) -> tuple[DataFrame, DataFrame]:
+    """Places where a usable window of an item stands in a document, and the number of usable windows of each item."""
     sizes = sorted(r["n"] for r in items.select("n").distinct().collect()) or [WINDOW]  # at most WINDOW values
     named = ["item_id", F.xxhash64("raw").alias("item_hash"), "codes"]
     parts = [items.filter(F.col("n") == n).select(*named, F.explode(windows(F.col("codes"), n)).alias("w")) for n in sizes]
     every = reduce(DataFrame.unionByName, parts)
-    usable = every.filter(_usable(F.col("codes"), F.col("w.at"), F.col("w.n")))
+    every = every.filter(usable(F.col("codes"), F.col("w.at"), F.col("w.n")))
     pair = F.when(F.col("w.n") > 1, _pair(F.col("codes"), F.col("w.at")))
-    wanted = usable.select("item_id", "item_hash", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"), F.col("w.n").alias("n"), pair.alias("pair"))
+    wanted = every.select("item_id", "item_hash", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"), F.col("w.n").alias("n"), pair.alias("pair"))
     wanted = written(wanted, "item-windows")
     per_item = wanted.groupBy("item_id", "item_hash").agg(F.count("item_at").alias("item_windows"))
     mask = [0] * (1 << FILTER_BITS - 6)
@@ -111,16 +125,34 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         mask[r["pair"] >> 6] |= 1 << (r["pair"] & 63)
     bits = F.lit([x - (1 << 64) if x >> 63 else x for x in mask]).cast("array<long>")
     # Only ids and hashes leave a text.
-    told = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.transform(raw_tokens(F.col("text")), code).alias("codes"))
+    told = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.transform(raw_tokens(F.col("text")), coded).alias("codes"))
     found = told.select("doc_id", "text_hash", F.explode(F.concat(*[windows(F.col("codes"), n, bits) for n in sizes])).alias("w"))
     found = found.select("doc_id", "text_hash", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"), F.col("w.n").alias("n"))
-    hits = written(found.join(wanted.drop("pair"), ["hash", "n"]), "hits")
+    return found.join(wanted.drop("pair"), ["hash", "n"]), per_item
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``(doc_id, text_hash, item_id, matched_windows, item_windows, share, slots, consistent, same_values)`` of the documents found by template."""
+    items = _tokens(benchmark, code)
+    hits, per_item = _hits(docs, items, code, _usable)
+    hits = written(hits, "hits")
     enough = hits.groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(F.count_distinct("item_at").alias("matched_windows"))
     enough = enough.join(per_item, ["item_id", "item_hash"]).withColumn("share", F.col("matched_windows") / F.col("item_windows"))
     enough = written(enough.filter(F.col("share") >= SHARE), "enough")
     return _consistent(docs, items, hits, enough)
 
 
+def exact(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """As ``matches``, of the documents that hold a window of an item word for word; no slots are compared."""
+    hits, per_item = _hits(docs, _tokens(benchmark, word), word, lambda codes, at, size: F.lit(True))
+    found = hits.groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(F.count_distinct("item_at").alias("matched_windows"))
+    found = found.join(per_item, ["item_id", "item_hash"])
+    return found.select(
+        "doc_id", "text_hash", "item_id", "matched_windows", "item_windows", (F.col("matched_windows") / F.col("item_windows")).alias("share"),
+        F.lit(0).cast("long").alias("slots"), F.lit(1.0).alias("consistent"), F.lit(True).alias("same_values"),
+    )
+
+
 def _runs(places: DataFrame) -> DataFrame:
     """The places of each pair by ``run``: all of them, those at one distance from the item, and one for each item place near that distance.
 
@@ -186,15 +218,27 @@ def _consistent(docs: DataFrame, items: DataFrame, hits: DataFrame, enough: Data
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The contaminated documents, one row for each item found in them."""
+    """The documents contaminated by template, one row for each item found in them."""
     return matches(docs.select("doc_id", "text"), benchmark.select("item_id", "text")).drop("text_hash")
 
 
+def _both(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
+    return matches(docs, benchmark).withColumn("exact", F.lit(False)).unionByName(exact(docs, benchmark).withColumn("exact", F.lit(True)))
+
+
+def findings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The contaminated documents, by template or by exact text, one row for each item found in them (the template's if both find it)."""
+    both = _both(docs, benchmark)
+    told = ["matched_windows", "item_windows", "share", "slots", "consistent", "same_values"]
+    order = F.struct(~F.col("exact"), "share", "same_values", "consistent", "matched_windows")
+    best = both.groupBy("doc_id", "text_hash", "item_id").agg(F.max_by(F.struct(*told), order).alias("best"))
+    return best.select("doc_id", "item_id", *[F.col(f"best.{c}") for c in told])
+
+
 def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, columns as they were."""
-    bad = matches(docs.select("doc_id", "text"), benchmark.select("item_id", "text")).select(
-        F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")
-    )
+    """The rows of ``docs`` in which no item is found, by template or by exact text; columns as they were."""
+    bad = _both(docs, benchmark).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
     bad = written(bad.distinct(), "contaminated")
     same = (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("bad_hash")) & F.col("doc_id").eqNullSafe(F.col("bad_id"))
     return docs.join(bad, same, "left_anti")

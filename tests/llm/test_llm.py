@@ -304,6 +304,20 @@ def test_template_windows_judge_each_occurrence(spark):
     assert {r.doc_id for r in template_windows.keep(docs, items).collect()} <= {4}
 
 
+def test_template_windows_find_exact_text(spark):
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    items = [(1, "what is the tallest tree"), (2, "9 8 7"), (3, "The Old Man And The Sea By Ernest Hemingway"), (4, long)]
+    found = [
+        (1, "so: What is the TALLEST tree of all"), (2, "nothing of that kind, 9 8 7"), (3, "Read The Old Man And The Sea By Ernest Hemingway now"),
+        (4, "A part: " + " ".join(long.split()[20:30]).upper()), (5, "what is the smallest tree, 9 8 6 7"), (6, " ".join(long.split()[20:27])), (7, None),
+    ]
+    docs = spark.createDataFrame(found, "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    got = template_windows.findings(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(1, 5)} and all(r.same_values for r in got)
+    assert {r.doc_id for r in template_windows.keep(docs, items).collect()} == {5, 6, 7}
+
+
 def test_license_scan(spark, nothing):
     base = [(i, f"Some words of text number {i}.\nMore of it, quite plain.") for i in range(60)]
     said = {
