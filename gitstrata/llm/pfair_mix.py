@@ -5,9 +5,10 @@ Each source's rows, in a fixed pseudo-random order, form blocks of ``BLOCK`` row
 at ``ceil((k + 1) / w)``; the released block with the earliest deadline takes the next
 slot. At every slot each source is then less than one block away from its exact share.
 
-Shares are whole numbers of a period, so one period is scheduled on the driver and
-repeats. When a source has no block left, the others go on from there with their shares of the
-rest; every row gets its place. There are at most as many such phases as sources.
+Shares are the exact rational values of the weights, never rounded to a period, so the bound
+holds over the whole of a phase. One number per block is scheduled on the driver. When a
+source has no block left, the others go on from there with their shares of the rest; every
+row gets its place. There are at most as many such phases as sources.
 
 Defined cases: a NULL source is a source; a source without a target weight gets none of
 the first phase's slots and follows when the others are done (all such in equal shares);
@@ -19,64 +20,58 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from fractions import Fraction
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, PERIOD, CHUNK = 16, 1000, 4_000
 
 
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots per period, at least one each, nearest to the weights (largest remainder)."""
-    period = max(period, 4 * len(weights))
-    total = sum(weights.values())
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    rest = period - sum(out.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:rest]:
-        out[s] += 1
-    return out
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """The weights as whole numbers in exactly the same proportion."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*[w.denominator for w in exact.values()])
+    return {s: int(w * unit) for s, w in exact.items()}
 
 
-def schedule(slots: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in one period, earliest deadline first among the released."""
-    period = sum(slots.values())
-    waiting = [(0, -(-period // w), s, 0) for s, w in slots.items()]
+def schedule(weights: dict[str, int], blocks: dict[str, int] | None = None) -> dict[str, array]:
+    """The slots of each source, earliest deadline first among the released, until one has none of its ``blocks`` left (default: one period)."""
+    total = sum(weights.values())
+    limit = blocks or weights
+    waiting = [(0, -(-total // w), s, 0) for s, w in weights.items()]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, str, int]] = []
-    out: dict[str, list[int]] = {s: [] for s in slots}
-    for t in range(period):
+    out = {s: array("q") for s in weights}
+    for t in range(sum(limit.values())):
         while waiting and waiting[0][0] <= t:
-            release, due, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, -slots[s], s, k))
+            _, due, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, -weights[s], s, k))
         _, _, s, k = heapq.heappop(ready)
         out[s].append(t)
         k += 1
-        if k < slots[s]:
-            heapq.heappush(waiting, (k * period // slots[s], -(-(k + 1) * period // slots[s]), s, k))
+        if k < limit[s]:
+            heapq.heappush(waiting, (k * total // weights[s], -(-(k + 1) * total // weights[s]), s, k))
+        elif blocks:
+            break
     return out
 
 
-def phases(blocks: dict[str, int], targets: dict[str, float], period: int) -> dict[str, list[dict]]:
-    """Per source the phases it takes part in: first block, first slot, slots per period, period, places in it."""
+def phases(blocks: dict[str, int], targets: dict[str, float]) -> dict[str, array]:
+    """The slot of every block of each source, in turn."""
     left = {s: n for s, n in blocks.items() if n}
-    out: dict[str, list[dict]] = {s: [] for s in left}
+    out = {s: array("q") for s in left}
     start = 0
     while left:
         weights = {s: targets[s] for s in left if targets.get(s, 0) > 0} or {s: 1.0 for s in left}
-        slots = shares(weights, period)
-        whole, places = sum(slots.values()), schedule(slots)
-        ends = {s: (left[s] - 1) // w * whole + places[s][(left[s] - 1) % w] for s, w in slots.items()}
-        stop = min(ends.values()) + 1
-        for s, w in slots.items():
-            used = stop // whole * w + int(np.searchsorted(places[s], stop % whole))
-            if used:
-                out[s].append({"first": blocks[s] - left[s], "start": start, "slots": w, "period": whole, "places": places[s]})
-                left[s] -= used
-                if not left[s]:
-                    del left[s]
-        start += stop
+        used = schedule(whole(weights), {s: left[s] for s in weights})
+        for s, slots in used.items():
+            out[s].extend(start + t for t in slots)
+            left[s] -= len(slots)
+            if not left[s]:
+                del left[s]
+        start += sum(len(slots) for slots in used.values())
     return out
 
 
@@ -88,6 +83,7 @@ def mix(
 
     ``targets`` defaults to the square root of each source's rows. ``by`` names the columns
     that order rows within a source through their hash (default: all). Order by ``position`` to read the mixture.
+    ``period`` is taken for older callers; nothing is rounded to it any more.
     """
     spark = docs.sparkSession
     docs = docs.drop("position", "block")
@@ -100,37 +96,31 @@ def mix(
         return docs.withColumns({"block": F.lit(0).cast("long"), "position": F.lit(0).cast("long")})
     wanted = {("" if s is None else f"={s}"): w for s, w in targets.items()} if targets else {s: math.sqrt(n) for s, n in sizes.items()}
     blocks = {s: -(-n // block) for s, n in sizes.items()}
-    plan = phases(blocks, wanted, period)
+    plan = phases(blocks, wanted)
     # Last blocks may be short: how many rows are missing before each slot.
-    short = []
-    for s, n in sizes.items():
-        if n % block:
-            p = plan[s][-1]
-            k = blocks[s] - 1 - p["first"]
-            short.append((p["start"] + k // p["slots"] * p["period"] + p["places"][k % p["slots"]], block - n % block))
+    short = [(plan[s][-1], block - n % block) for s, n in sizes.items() if n % block]
     # Number the rows of a source: chunks of its hash order, then rows within a chunk.
     bits = max(0, math.ceil(math.log2(max(sizes.values()) / chunk_rows)))
     chunk = F.shiftright("mix_order", 64 - bits) if bits else F.lit(0).cast("long")
     rows = rows.withColumn("mix_chunk", chunk)
-    per = rows.groupBy("mix_source", "mix_chunk").count()
-    before = F.sum("count").over(Window.partitionBy("mix_source").orderBy("mix_chunk").rowsBetween(Window.unboundedPreceding, -1))
-    per = per.select("mix_source", "mix_chunk", F.coalesce(before, F.lit(0)).alias("mix_before"))
+    told_slots, before = [], dict.fromkeys(sizes, 0)
+    for r in rows.groupBy("mix_source", "mix_chunk").count().orderBy("mix_source", "mix_chunk").collect():  # about one for chunk_rows rows
+        first = before[r["mix_source"]]
+        before[r["mix_source"]] += r["count"]
+        own = plan[r["mix_source"]][first // block : (first + r["count"] - 1) // block + 1]
+        told_slots.append((r["mix_source"], r["mix_chunk"], first, own.tolist()))
+    kind = "mix_source string, mix_chunk long, mix_before long, mix_slots array<bigint>"
+    table = spark.createDataFrame(told_slots, kind)
     within = F.row_number().over(Window.partitionBy("mix_source", "mix_chunk").orderBy("mix_order", *told)) - 1
-    numbered = rows.withColumn("mix_within", within).join(per, ["mix_source", "mix_chunk"])
-    numbered = numbered.withColumn("mix_index", F.col("mix_before") + F.col("mix_within"))
-    kind = "mix_source string, mix_phases array<struct<first:bigint,start:bigint,slots:bigint,period:bigint,places:array<bigint>>>"
-    table = spark.createDataFrame([(s, [tuple(p[k] for k in ("first", "start", "slots", "period", "places")) for p in ps]) for s, ps in plan.items()], kind)
-    cells = sum(len(p["places"]) for ps in plan.values() for p in ps)
-    placed = numbered.join(F.broadcast(table) if cells <= 1 << 20 else table, "mix_source")
+    numbered = rows.withColumn("mix_within", within)
+    placed = numbered.join(F.broadcast(table) if sum(blocks.values()) <= 1 << 20 else table, ["mix_source", "mix_chunk"])
+    placed = placed.withColumn("mix_index", F.col("mix_before") + F.col("mix_within"))
     number = F.floor(F.col("mix_index") / block)
-    p = F.element_at(F.filter("mix_phases", lambda p: p["first"] <= number), -1)
-    k = number - F.col("mix_phase.first")
-    turn, place = F.floor(k / F.col("mix_phase.slots")), F.col("mix_phase.places")[k % F.col("mix_phase.slots")]
-    slot = F.col("mix_phase.start") + turn * F.col("mix_phase.period") + place
+    slot = F.col("mix_slots")[(number - F.floor(F.col("mix_before") / block)).cast("int")]
     lost = F.lit(0).cast("long")
     if short:
         gaps = F.array(*[F.struct(F.lit(a).cast("long").alias("slot"), F.lit(b).cast("long").alias("n")) for a, b in sorted(short)])
         lost = F.aggregate(gaps, F.lit(0).cast("long"), lambda x, g: x + F.when(g["slot"] < F.col("mix_slot"), g["n"]).otherwise(F.lit(0)))
-    out = placed.withColumn("mix_phase", p).withColumn("mix_slot", slot)
+    out = placed.withColumn("mix_slot", slot)
     position = F.col("mix_slot") * block + F.col("mix_index") % block - lost
     return out.select(*[f"`{c}`" for c in docs.columns], number.cast("long").alias("block"), position.cast("long").alias("position"))

@@ -374,6 +374,18 @@ def test_pfair_mix(spark, docs, nothing):
     assert pfair_mix.mix(nothing).count() == 0
 
 
+def test_mix_keeps_the_bound_over_many_periods():
+    # what a source is off its exact share after each slot, until the first source ends
+    blocks = {f"s{i:02}": 300 for i in range(19)} | {"big": 20_000}
+    for weights in ({s: math.sqrt(n) for s, n in blocks.items()}, {s: n * (1 + i / 1000) for i, (s, n) in enumerate(blocks.items())}):
+        total = sum(weights.values())
+        plan = pfair_mix.phases(blocks, weights)
+        assert sorted(t for slots in plan.values() for t in slots) == list(range(sum(blocks.values())))
+        end = min(slots[-1] for slots in plan.values())
+        for s, slots in plan.items():
+            assert all(k - 1e-6 < (t + 1) * weights[s] / total and t * weights[s] / total < k + 1 + 1e-6 for k, t in enumerate(slots) if t <= end)
+
+
 def test_schedule_meets_every_window():
     for slots in ({"a": 3, "b": 3, "c": 1}, {"a": 999, "b": 1}, {"a": 7, "b": 5, "c": 5, "d": 3}):
         period = sum(slots.values())
