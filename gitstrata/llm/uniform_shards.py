@@ -4,11 +4,12 @@ Rows fall into blocks by a hash. How many rows of each block go to each shard is
 exactly as a uniform random permutation would deal them: block after block, from a
 multivariate hypergeometric distribution over what the shards still take. Each block
 is permuted, its rows are dealt by these counts, and each shard is permuted again after
-the exchange. Large shards are split into cells that are columns of the matrix of their
-own, so no sort is longer than about ``ROWS`` rows whatever the sizes.
+the exchange: sorted by a hash in chunks of its values, each numbered from the count of
+rows before it, so no such sort is longer than about ``ROWS`` rows whatever the sizes.
 
-Only the matrix passes through the driver: blocks times cells, refused beyond ``CELLS``.
-Rows stay in DataFrame windows and joins; the same seed gives the same result.
+Only the matrix passes through the driver: blocks times shards, which grows with the rows
+and not with their square. From ``CELLS`` entries on the blocks grow instead; no number of
+rows is refused. Rows stay in DataFrame windows and joins; the same seed gives the same result.
 
 Defined cases: NULLs are hashed as such; rows that are equal in every column are
 interchangeable; an empty table gives no rows; shard sizes differ by one row at most;
@@ -81,11 +82,8 @@ def shuffle(df: DataFrame, shards: int, by: list[str] | None = None, seed: int =
     df = df.drop("shard", "slot")
     told = [F.col(f"`{c}`") for c in (by or df.columns)]
     total = df.count()
-    n_blocks, parts = max(1, -(-total // rows)), max(1, -(-total // (rows * shards)))
-    if n_blocks * shards * parts > CELLS:
-        raise ValueError("blocks times cells exceed the matrix bound; raise rows")
+    n_blocks = max(1, min(-(-total // rows), CELLS // shards))
     sizes = [total // shards + (j < total % shards) for j in range(shards)]
-    cells = [s // parts + (k < s % parts) for s in sizes for k in range(parts)]
     dealt = df.withColumns({
         "shuffle_block": F.pmod(F.xxhash64(F.lit(seed), *told), F.lit(n_blocks)).cast("int"),
         "shuffle_here": F.xxhash64(F.lit(seed + 1), *told),
@@ -93,15 +91,18 @@ def shuffle(df: DataFrame, shards: int, by: list[str] | None = None, seed: int =
     })
     counts = {r["shuffle_block"]: r["count"] for r in dealt.groupBy("shuffle_block").count().collect()}
     blocks = sorted(counts)
-    ends = np.cumsum(communication([counts[b] for b in blocks], cells, seed), axis=1)
+    ends = np.cumsum(communication([counts[b] for b in blocks], sizes, seed), axis=1)
     plan = spark.createDataFrame([(b, e.tolist()) for b, e in zip(blocks, ends, strict=True)], "shuffle_block int, shuffle_ends array<long>")
-    starts = [sum(cells[j // parts * parts : j]) for j in range(len(cells))]
     local = Window.partitionBy("shuffle_block").orderBy("shuffle_here", "shuffle_there", *told)
     ranked = dealt.withColumn("shuffle_rank", F.row_number().over(local)).join(F.broadcast(plan), "shuffle_block")
-    cell = F.size(F.filter("shuffle_ends", lambda e: e < F.col("shuffle_rank")))
-    sent = ranked.withColumn("shuffle_cell", cell).drop("shuffle_ends", "shuffle_rank", "shuffle_block")
-    again = Window.partitionBy("shuffle_cell").orderBy("shuffle_there", "shuffle_here", *told)
-    first = F.element_at(F.lit(starts).cast("array<long>"), F.col("shuffle_cell") + 1)
-    return sent.withColumn("slot", (first + F.row_number().over(again) - 1).cast("long")).select(
-        *[f"`{c}`" for c in df.columns], F.floor(F.col("shuffle_cell") / parts).cast("int").alias("shard"), "slot"
-    )
+    shard = F.size(F.filter("shuffle_ends", lambda e: e < F.col("shuffle_rank"))).cast("int")
+    bits = max(0, math.ceil(math.log2(max(sizes[0], 1) / rows)))
+    chunk = F.shiftright("shuffle_there", 64 - bits) if bits else F.lit(0).cast("long")
+    sent = ranked.withColumns({"shard": shard, "shuffle_chunk": chunk}).drop("shuffle_ends", "shuffle_rank", "shuffle_block")
+    # How many rows of a shard lie before each chunk; the texts are not read for it.
+    before = F.sum("count").over(Window.partitionBy("shard").orderBy("shuffle_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    per = sent.groupBy("shard", "shuffle_chunk").count().select("shard", "shuffle_chunk", F.coalesce(before, F.lit(0)).alias("shuffle_before"))
+    again = Window.partitionBy("shard", "shuffle_chunk").orderBy("shuffle_there", "shuffle_here", *told)
+    numbered = sent.withColumn("shuffle_within", F.row_number().over(again) - 1).join(per, ["shard", "shuffle_chunk"])
+    slot = (F.col("shuffle_before") + F.col("shuffle_within")).cast("long")
+    return numbered.select(*[f"`{c}`" for c in df.columns], "shard", slot.alias("slot"))

@@ -348,6 +348,19 @@ def test_uniform_shards(spark, docs, nothing):
     assert len(few) == 2
 
 
+def test_uniform_shards_refuse_no_number_of_rows(docs, monkeypatch):
+    drawn, communication = [], uniform_shards.communication
+    monkeypatch.setattr(uniform_shards, "CELLS", 40)
+    monkeypatch.setattr(uniform_shards, "communication", lambda *a: drawn.append((len(a[0]), len(a[1]))) or communication(*a))
+    rows = uniform_shards.shuffle(docs, 7, rows=2).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert len(rows) == docs.count() and all(sorted(x) == list(range(len(x))) for x in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(cells == 7 and blocks * cells <= 40 for blocks, cells in drawn)
+
+
 def test_communication_matrix_is_exact_and_uniform():
     total = np.zeros((3, 4))
     for seed in range(400):
