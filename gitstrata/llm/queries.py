@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from gitstrata.llm import (
     dart_minhash,
+    divergence_audit,
     hidden_markov,
     license_scan,
+    period_runs,
     pfair_mix,
+    prefix_tokens,
     quality_rules,
     repeated_windows,
     support_vectors,
@@ -87,11 +90,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op11_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, and the words without the repeats."""
+    return period_runs.report(table(spark, sf_dir, "documents"))
+
+
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, and the terms each is fond of."""
+    return divergence_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as ids of the SentencePiece model, and decoded again."""
+    import public_tokenizers
+
+    return prefix_tokens.report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_hidden_markov, op3_uniform_shards, op4_dart_minhash, op5_pfair_mix,
         op6_repeated_windows, op7_token_shards, op8_support_vectors, op9_template_windows, op10_quality_rules,
+        op11_period_runs, op12_divergence_audit, op13_prefix_tokens,
     )
 }
 
@@ -115,4 +136,26 @@ ORACLE: dict[str, str] = {
                sha256(array_to_string(list_transform(left_over, lambda i: w[i]), ' ')) AS kept_sha256
         FROM marked
     """,
+    "op12_divergence_audit": r"""
+        WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+          regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        t AS (SELECT i, lang, source, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT i) >= 3),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS c FROM t GROUP BY ALL),
+        cell AS (SELECT g.lang, g.source, kept.term, kept.total, coalesce(c.c, 0) AS c FROM g JOIN kept ON g.lang = kept.lang
+          LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+        sized AS (SELECT *, sum(c) OVER (PARTITION BY lang, source) AS n, count(*) OVER (PARTITION BY lang, source) AS v,
+          sum(total) OVER (PARTITION BY lang, source) AS ln FROM cell),
+        p AS (SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 1)) // (n + v)::HUGEINT AS p,
+          1 + (1000000000::HUGEINT * (total + 1)) // (ln + v)::HUGEINT AS q FROM sized),
+        s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        liked AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p WHERE c > 0 AND p > q),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (FROM pairs UNION ALL FROM liked))
+        SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+    """,
 }
