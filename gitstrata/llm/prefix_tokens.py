@@ -10,9 +10,9 @@ merges, and no merge across the cut may come before the next growth (on equal ra
 place further left goes first). The ids are then read from the end back.
 
 Spark deals out the texts; a task works on slices of whole texts. A text is taken apart
-where no piece can reach across (before a blank behind another character, and around control
-characters that no piece has), and a worker encodes each such part once and remembers
-at most ``REMEMBERED`` of them.
+where no piece can reach across (between two characters that stand side by side in no piece, such as
+before a blank behind a letter), and a worker encodes each such part once and remembers at most
+``REMEMBERED`` of them.
 
 The model must be of the merging kind with byte fallback, unchanged characters, a blank put
 before every text and no user symbols; others are refused. ``ids`` follow the library's.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from gitstrata.llm.words import slices
 
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 BLANK, MARK = "▁", "�"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _STRANGER = -1
@@ -78,10 +78,13 @@ class Pieces:
             if self.size[i] == 1 or i in self.parts:
                 self.automaton.add_word(text, i)
         self.automaton.make_automaton()
-        # A part may begin before a blank only if no piece holds a blank behind another character.
-        self.by_blank = not any(BLANK in t.lstrip(BLANK) for t in self.token)
-        self.alone = np.zeros(256, bool)
-        self.alone[[b for b in range(32) if chr(b) not in self.token]] = True
+        # Texts are cut between bytes that no piece has side by side where one character ends and the next begins.
+        self.cuts = np.ones((256, 256), bool)
+        self.cuts[:, 0x80:0xC0] = False
+        for text in self.token:
+            letters = [c.encode() for c in text.replace(BLANK, " ")]
+            for x, y in zip(letters, letters[1:], strict=False):
+                self.cuts[x[-1], y[0]] = False
         surface = [t.replace(BLANK, " ").encode() for t in self.texts[: self.n]]
         for b, i in self.bytes.items():
             surface[i] = bytes([b])
@@ -181,7 +184,7 @@ class Pieces:
                         continue
                 last[end + 1] = token
                 settled = end + 1
-        if len(fits) > REMEMBERED * 4:
+        if len(fits) > REMEMBERED * 2:
             fits.clear()
         out, counts, at, n = [], [], len(text), self.n
         put, here = out.append, 0
@@ -203,11 +206,7 @@ class Pieces:
         """Byte starts of the parts of all texts."""
         cut = np.zeros(len(data), bool)
         if len(data):
-            if self.by_blank:
-                cut[1:] = (data[1:] == 32) & (data[:-1] != 32)
-            alone = self.alone[data]
-            cut |= alone
-            cut[1:] |= alone[:-1]
+            cut[1:] = self.cuts[data[:-1], data[1:]]
             cut[bounds[:-1][np.diff(bounds) > 0]] = True
         return np.flatnonzero(cut)
 
@@ -288,19 +287,35 @@ def _encoded(column: pa.Array, pieces: Pieces) -> Iterator[tuple[int, int, pa.Ar
         yield t.row, len(t), pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))
 
 
-def encode(docs: DataFrame, model: str, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``ids``, the token ids of ``text``."""
+def _decoded(column: pa.Array, pieces: Pieces) -> pa.Array:
+    """The texts of lists of ids."""
+    column, texts = pc.if_else(pc.is_valid(column), column, pa.scalar([], column.type)), []
+    for low in range(0, len(column), 256):
+        part = column.slice(low, 256)
+        flat, cuts = np.asarray(part.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(part)))])
+        if len(flat) and (flat.min() < 0 or flat.max() >= pieces.n):
+            raise ValueError("an id is outside the vocabulary")
+        lengths = pieces.length[flat]
+        raw = pieces.surface[ranges(pieces.offset[flat], lengths)]
+        sums = np.concatenate([[0], np.cumsum(lengths)])[cuts]
+        texts.extend(pieces.decoded(flat[a:b], raw[c:d].tobytes()) for a, b, c, d in zip(cuts, cuts[1:], sums, sums[1:], strict=False))
+    return pa.array(texts, pa.string())
+
+
+def encode(docs: DataFrame, model: str, keep: Sequence[str] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and ``ids``, the token ids of ``text``; with ``decoded`` also the ``text`` of these ids."""
+    made = ["ids", "text"] if decoded else ["ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(model)
         for batch in batches:
             for row, n, ids in _encoded(batch.column(batch.num_columns - 1), pieces):
                 mine = [batch.column(i).slice(row, n) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*mine, ids], [*keep, "ids"])
+                yield pa.RecordBatch.from_arrays([*mine, ids, *([_decoded(ids, pieces)] if decoded else [])], [*keep, *made])
 
     rows = docs.select(*[f"`{c}`" for c in keep], F.col("text").cast("string"))
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(run, ", ".join([*fields, "ids array<int>"]))
+    return rows.mapInArrow(run, ", ".join([*fields, "ids array<int>", *["text string"] * decoded]))
 
 
 def decode(encoded: DataFrame, model: str, keep: Sequence[str] = ("doc_id", "ids")) -> DataFrame:
@@ -309,19 +324,8 @@ def decode(encoded: DataFrame, model: str, keep: Sequence[str] = ("doc_id", "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(model)
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            column = pc.if_else(pc.is_valid(column), column, pa.scalar([], column.type))
-            for low in range(0, len(column), 256):
-                part = column.slice(low, 256)
-                flat, cuts = np.asarray(part.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(part)))])
-                if len(flat) and (flat.min() < 0 or flat.max() >= pieces.n):
-                    raise ValueError("an id is outside the vocabulary")
-                lengths = pieces.length[flat]
-                raw = pieces.surface[ranges(pieces.offset[flat], lengths)]
-                sums = np.concatenate([[0], np.cumsum(lengths)])[cuts]
-                texts = [pieces.decoded(flat[a:b], raw[c:d].tobytes()) for a, b, c, d in zip(cuts, cuts[1:], sums, sums[1:], strict=False)]
-                mine = [batch.column(i).slice(low, len(part)) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*mine, pa.array(texts, pa.string())], [*keep, "text"])
+            last = batch.num_columns - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], _decoded(batch.column(last), pieces)], [*keep, "text"])
 
     rows = encoded.select(*[f"`{c}`" for c in keep], F.col("ids").cast("array<int>").alias("_ids"))
     fields = [f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep]
@@ -330,8 +334,8 @@ def decode(encoded: DataFrame, model: str, keep: Sequence[str] = ("doc_id", "ids
 
 def report(docs: DataFrame, model: str) -> DataFrame:
     """Per document: number of ids, and the SHA-256 of the ids' decimal list and of the text decoded from them."""
-    both = decode(encode(docs, model), model)
-    return both.select(
+    # One pass does both, so a task runs one Python worker.
+    return encode(docs, model, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
