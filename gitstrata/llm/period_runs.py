@@ -7,9 +7,10 @@ of ``L``, the boundaries. So, per octave:
 * A task looks for boundaries with a block that returns ``L`` to ``2 L - 1`` words later, by hashes of ``L`` words, and
   writes the tiles (stretches of ``16 L`` words and more, overlapping by ``4 L``) that hold such a boundary. Boundaries inside
   a stretch of a period below ``L`` are left out: all periods of the octave are its multiples there.
-* Spark deals the tiles out anew, so a long document is solved by many tasks. Each solves a tile on its own, on numbers
-  of its words: a Z-function forward and one backward from a boundary give how far every period of the octave
-  reaches to both sides. Periods that are multiples of a smaller one are dropped by the same Z-function.
+* Tiles of documents of more than ``FAR`` words are written and dealt out anew, so that many tasks solve a long document; those
+  of shorter ones are solved where they are. Either way a tile is solved on its own, on numbers of its words: a Z-function forward
+  and one backward from a boundary give how far every period of the octave reaches to both sides. Periods that are multiples of
+  a smaller one are dropped by the same Z-function, and so are, in a shorter document, those that cover too few words for a run.
 * The fragments, intervals of places, go by document and period and are stitched where they touch.
 
 Hashes only choose boundaries; equal words have equal hashes, and every reach is found on the words themselves.
@@ -34,7 +35,7 @@ from gitstrata.llm.words import _WORD_BASE, Texts, rolling, slices
 
 POWER, LEAST = 4, 6
 TILE, LEAST_TILE = 16, 512
-STEP = 1 << 18
+STEP, FAR = 1 << 18, 1 << 15
 
 
 def shifted(n: int, h: int) -> np.ndarray | None:
@@ -109,15 +110,25 @@ def _ranges(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
-def survey(texts: DataFrame) -> DataFrame:
+def _possible(found: list[tuple[int, int, int]]) -> list[dict[str, int]]:
+    """Those of all fragments of a document whose period covers enough words to make a run."""
+    covered: dict[int, int] = {}
+    for p, first, end in found:
+        covered[p] = covered.get(p, p) + end - first
+    return [{"period": p, "first": first, "end": end} for p, first, end in found if covered[p] >= max(LEAST, POWER * p)]
+
+
+def survey(texts: DataFrame, far: int = FAR) -> DataFrame:
     """Rows of two kinds from ``(doc_id, node, h, text)``.
 
-    One per document (``octave`` 0): number of words, digest of all words, and the text if it has tiles. One per tile: the
-    octave ``L``, the word number ``first`` of its first word, its words as numbers, and the boundaries in it.
+    One per document (``octave`` 0): number of words, digest of all words, the fragments of a short one, and the text if there are
+    fragments or tiles. One per tile of a long document: the octave ``L``, the word number ``first`` of its first word, its words as
+    numbers, and the boundaries in it.
     """
     kind = texts.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "node", "octave", "n_words", "whole", "text", "first", "codes", "marks"]
-    schema = f"doc_id {kind}, node binary, octave int, n_words long, whole string, text string, first int, codes array<int>, marks array<int>"
+    names = ["doc_id", "node", "octave", "n_words", "whole", "text", "found", "first", "codes", "marks"]
+    pair = pa.list_(pa.struct([("period", pa.int64()), ("first", pa.int64()), ("end", pa.int64())]))
+    schema = f"doc_id {kind}, node binary, octave int, n_words long, whole string, text string, found array<struct<period:bigint,first:bigint,end:bigint>>, first int, codes array<int>, marks array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +136,7 @@ def survey(texts: DataFrame) -> DataFrame:
                 h = np.asarray(batch.column(2).slice(t.row, len(t)))
                 order = word_order(t, h)
                 values = t.words[order]
-                owner, octave, first, codes, marks, numbered = [], [], [], [], [], {}
+                owner, octave, first, codes, marks, numbered, found = [], [], [], [], [], {}, {}
                 for length, places in boundaries(t, values):
                     size = max(TILE * length, LEAST_TILE)
                     doc = t.doc[places]
@@ -137,19 +148,24 @@ def survey(texts: DataFrame) -> DataFrame:
                             numbered = {d: _numbers(t, order, d)}
                         lo = max(0, int(tile[a]) * size - length)
                         hi = min(int(t.counts[d]), (int(tile[a]) + 1) * size + 3 * length)
+                        inside = (places[a:b] - base - lo).astype(np.int32)
+                        if t.counts[d] <= far:
+                            found.setdefault(d, []).extend((p, lo + x, lo + y) for p, x, y in fragments(numbered[d][lo:hi], inside, length))
+                            continue
                         owner.append(d)
                         octave.append(length)
                         first.append(lo)
                         codes.append(numbered[d][lo:hi])
-                        marks.append((places[a:b] - base - lo).astype(np.int32))
+                        marks.append(inside)
                 whole = [_digest(_joined(t, order, d)) for d in range(len(t))]
-                tiled = np.isin(np.arange(len(t)), owner)
+                found = {d: some for d, x in found.items() if (some := _possible(x))}
+                long = set(owner)
                 n, m = len(t), len(owner)
                 place = pa.array(np.concatenate([np.arange(n), np.array(owner, np.int64)]) + t.row)
-                text = [batch.column(3)[t.row + d].as_py() if tiled[d] else None for d in range(n)]
+                text = [batch.column(3)[t.row + d].as_py() if found.get(d) or d in long else None for d in range(n)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(place), batch.column(1).take(place), pa.array([0] * n + octave, pa.int32()),
-                     pa.array([*t.counts.tolist(), *[None] * m], pa.int64()), pa.array(whole + [None] * m, pa.string()), pa.array(text + [None] * m, pa.string()),
+                     pa.array([*t.counts.tolist(), *[None] * m], pa.int64()), pa.array(whole + [None] * m, pa.string()), pa.array(text + [None] * m, pa.string()), pa.array([found.get(d) or None for d in range(n)] + [None] * m, pair),
                      pa.array([None] * n + first, pa.int32()), pa.array([None] * n + codes, pa.list_(pa.int32())), pa.array([None] * n + marks, pa.list_(pa.int32()))],
                     names,
                 )
@@ -270,7 +286,7 @@ def _collapse(texts: DataFrame) -> DataFrame:
     return texts.select("node", "h", "runs", "text").mapInArrow(run, "node binary, collapsed_sha256 string")
 
 
-def runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def runs(docs: DataFrame, far: int = FAR) -> tuple[DataFrame, DataFrame]:
     """A row per document (``doc_id``, ``node``, ``n_words``, ``whole`` and, with tiles, ``text``), and all runs by ``node``."""
     text, decimal = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("string")
     name = F.concat(F.when(decimal.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), decimal)), F.lit("\n"), text)
@@ -278,16 +294,17 @@ def runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "doc_id", F.unhex(F.md5(name.cast("binary"))).alias("node"),
         F.crc32(F.coalesce(decimal, F.lit("")).cast("binary")).alias("h"), text.alias("text"),
     )
-    seen = written(survey(texts), "tiles")
+    seen = written(survey(texts, far), "tiles")
     tiles = seen.filter("octave > 0").select("node", "octave", "first", "codes", "marks")
     # Dealt by tile and not by document: a long document is solved by many tasks.
-    found = solve(tiles.repartition("node", "octave", "first"))
+    near = seen.filter("octave = 0").select("node", F.inline("found"))
+    found = near.unionByName(solve(tiles.repartition("node", "octave", "first")))
     return seen.filter("octave = 0").select("doc_id", "node", "n_words", "whole", "text"), stitch(found.distinct())
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, far: int = FAR) -> DataFrame:
     """Per document: number of runs, the longest one, and digests of the run list and of the words without repeats."""
-    heads, found = runs(docs)
+    heads, found = runs(docs, far)
     one = F.struct("start", "length", "period")
     longest = F.struct("length", (-F.col("start")).alias("start"), (-F.col("period")).alias("period"))
     lists = found.groupBy("node").agg(
