@@ -3,9 +3,9 @@
 * A task adds its documents to a block of postings ``(lang, term, source, occurrences, documents)`` until the
   block holds ``BLOCK`` bytes, then writes it as a run sorted by term. A run is cut by hash shard and into
   chunks of at most ``CHUNK`` postings, one row each.
-* Spark brings the chunks of a shard together in the order of their first term. A task merges them with a heap,
-  opening a chunk only when its first term is reached, and keeps the terms of enough documents with their
-  count in each source. What it holds is one open chunk per run and one term's postings.
+* Spark brings the chunks of a shard together in the order of their first term. A task merges them with a heap of open
+  chunks, block by block, and keeps the terms of enough documents with their count in each source. What it
+  holds is about ``MERGED`` postings, or twice what is left of one chunk per run and shard if that is more.
 * Values of pairs of sources begin with the value as if no term occurred. The rest are corrections streamed over the
   frequencies: one per source and count, and one per pair of sources and counts that share a term.
   Equal corrections are counted before they are worked out, so the work follows the postings and not terms x sources x sources.
@@ -33,7 +33,7 @@ from gitstrata.functions.common import top_n_per_key
 from gitstrata.llm.store import written
 from gitstrata.llm.words import Texts, lists, slices
 
-BLOCK, CHUNK, SHARDS = 64 << 20, 512, 1024
+BLOCK, CHUNK, SHARDS, MERGED = 64 << 20, 512, 1024, 1 << 16
 LEAST_DOCUMENTS, TOP, UNIT = 3, 200, 1_000_000_000
 SALTS = 32
 _LETTER = np.zeros(256, bool)
@@ -87,15 +87,23 @@ def _prints(column: pa.ChunkedArray) -> np.ndarray:
     return Texts(data, offsets, 0).prints(offsets[:-1], offsets[1:])
 
 
+def _ranks(column: pa.ChunkedArray) -> np.ndarray:
+    """The place of each value of a text column among its distinct values, in the order of their bytes."""
+    coded = column.combine_chunks().dictionary_encode()
+    rank = np.empty(len(coded.dictionary), np.int64)
+    rank[np.asarray(pc.sort_indices(coded.dictionary))] = np.arange(len(rank))
+    return rank[np.asarray(coded.indices)]
+
+
 def _run(block: pa.Table, most: int, shards: int) -> Iterator[pa.RecordBatch]:
     """A block as a run: chunks of at most ``most`` postings sorted by term within their language and shard."""
-    block = block.sort_by([(k, "ascending") for k in _KEYS])
+    lang, term, source = (_ranks(block[k]) for k in _KEYS)
     # The hashes are made in parts: a part of the block is all they hold at a time.
     shard = np.concatenate([_prints(part["term"]) ^ (_prints(part["lang"]) * _ODD) for part in (block.slice(i, 1 << 16) for i in range(0, len(block), 1 << 16))])
     shard = ((shard * _ODD) >> np.uint64(40)).astype(np.int64) % shards
-    lang = np.asarray(block["lang"].combine_chunks().dictionary_encode().indices).astype(np.int64)
-    order = np.argsort(lang * shards + shard, kind="stable")
-    block, key = block.take(pa.array(order)).combine_chunks(), (lang * shards + shard)[order]
+    key = lang * shards + shard
+    order = np.lexsort((source, term, key))
+    block, key, shard = block.take(pa.array(order)).combine_chunks(), key[order], shard[order]
     place = np.arange(len(key))
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
@@ -109,7 +117,7 @@ def _run(block: pa.Table, most: int, shards: int) -> Iterator[pa.RecordBatch]:
         inside = pa.array(at - at[0])
         value = {c: pa.concat_arrays(part[c].chunks) for c in part.column_names}
         yield pa.RecordBatch.from_arrays(
-            [value["lang"].take(inside).cast(pa.string()), pa.array(shard[order][at].astype(np.int32)), value["term"].take(inside).cast(pa.string()),
+            [value["lang"].take(inside).cast(pa.string()), pa.array(shard[at].astype(np.int32)), value["term"].take(inside).cast(pa.string()),
              *[lists(value[c].cast(pa.string()), size) for c in ("term", "source")], *[lists(value[c], size) for c in ("count", "docs")]],
             ["lang", "shard", "first", "terms", "sources", "counts", "docs"],
         )
@@ -145,71 +153,84 @@ def _folded(block: list[pa.Table]) -> pa.Table:
     return out.rename_columns([c.removesuffix("_sum") for c in out.column_names])
 
 
-def merged(chunks: Iterable[tuple]) -> Iterator[tuple]:
-    """Postings ``(lang, term, source, count, docs)`` in order, from chunks sorted by ``(lang, shard, first term)``."""
-    heap: list[tuple] = []
-    group = None
-
-    def drained(before: str | None) -> Iterator[tuple]:
-        while heap and (before is None or heap[0][0] < before):
-            term, source, n, i, terms_, sources, counts, docs = heap[0]
-            yield group[0], term, source, counts[i], docs[i]
-            i += 1
-            if i < len(terms_):
-                heapq.heapreplace(heap, (terms_[i], sources[i], n, i, terms_, sources, counts, docs))
-            else:
-                heapq.heappop(heap)
-
-    for n, (lang, shard, first, *lists_) in enumerate(chunks):
-        yield from drained(first if group == (lang, shard) else None)
-        group = lang, shard
-        heapq.heappush(heap, (lists_[0][0], lists_[1][0], n, 0, *lists_))
-    yield from drained(None)
-
-
-def _kept(postings: Iterable[tuple], least: int) -> Iterator[tuple]:
-    """``(lang, term, total, sources, counts)`` of the terms in at least ``least`` documents."""
-    now, documents, sources, counts = None, 0, [], []
-    for lang, term, source, count, docs in postings:
-        if (lang, term) != now:
-            if documents >= least:
-                yield *now, sum(counts), sources, counts
-            now, documents, sources, counts = (lang, term), 0, [], []
-        documents += docs
-        if sources and sources[-1] == source:
-            counts[-1] += count
-        else:
-            sources.append(source)
-            counts.append(count)
-    if documents >= least:
-        yield *now, sum(counts), sources, counts
+def merged(chunks: Iterable[tuple[str, str, pa.Table]], most: int = MERGED) -> Iterator[tuple[str, pa.Table]]:
+    """Blocks ``(lang, postings)`` with all postings of their terms, from chunks ``(lang, first term, postings)`` sorted by these.
+
+    A heap holds the open chunks by their next term. When ``most`` postings are open, and twice as many as were left the last time,
+    those below the next chunk's first term are complete: they leave the heap, and what is left of their chunks returns to it.
+    """
+    heap: list[tuple[str, int, pa.Table]] = []
+    held = n = 0
+    limit, now = most, None
+
+    def below(bound: str | None) -> list[pa.Table]:
+        out, back = [], []
+        while heap and (bound is None or heap[0][0] < bound):
+            _, k, rows = heapq.heappop(heap)
+            cut = len(rows) if bound is None else pc.sum(pc.less(rows["term"], bound)).as_py()
+            out.append(rows.slice(0, cut))
+            if cut < len(rows):
+                back.append((rows["term"][cut].as_py(), k, rows.slice(cut)))
+        for entry in back:
+            heapq.heappush(heap, entry)
+        return out
+
+    for lang, first, rows in chunks:
+        if heap and (lang != now or held >= limit):
+            part = below(first if lang == now else None)
+            if part:
+                yield now, pa.concat_tables(part)
+            held = sum(len(x[2]) for x in heap)
+            limit = max(most, 2 * held)
+        now = lang
+        heapq.heappush(heap, (first, n, rows))
+        held += len(rows)
+        n += 1
+    if heap:
+        yield now, pa.concat_tables(below(None))
+
+
+def kept(lang: str, postings: pa.Table, least: int) -> pa.RecordBatch:
+    """``(lang, term, total, postings)`` of the terms of a block that occur in at least ``least`` documents."""
+    sums = postings.group_by(["term", "source"], use_threads=False).aggregate([("count", "sum"), ("docs", "sum")])
+    whole = sums.group_by("term", use_threads=False).aggregate([("docs_sum", "sum")])
+    wanted = whole.filter(pc.greater_equal(whole["docs_sum_sum"], least))["term"]
+    sums = sums.filter(pc.is_in(sums["term"], value_set=wanted.combine_chunks())).combine_chunks()
+    term, source = _ranks(sums["term"]), _ranks(sums["source"])
+    order = np.lexsort((source, term))
+    sums, term = sums.take(pa.array(order)).combine_chunks(), term[order]
+    first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+    count = np.asarray(sums["count_sum"])
+    pairs = pa.StructArray.from_arrays([_plain(sums["source"]), _plain(sums["count_sum"])], ["source", "count"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(first), pa.string()), _plain(sums["term"]).take(pa.array(first)), pa.array(np.add.reduceat(count, first) if len(first) else count),
+         lists(pairs, np.diff(np.append(first, len(term))))],
+        ["lang", "term", "total", "postings"],
+    )
+
+
+def _plain(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
 def frequencies(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """The kept terms of each language: ``total`` occurrences and a list of ``(source, count)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Sixteen rows become Python values at a time.
-        chunks = (row for batch in batches for low in range(0, batch.num_rows, 16) for row in zip(*[c.to_pylist() for c in batch.slice(low, 16).columns], strict=True))
-        rows, size = [], 0
-        for row in _kept(merged(chunks), least):
-            rows.append(row)
-            size += len(row[3])
-            if size >= 1 << 15:
-                yield made(rows)
-                rows, size = [], 0
-        if rows:
-            yield made(rows)
-
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        lang, term, total, sources, counts = zip(*rows, strict=True)
-        pairs = pa.StructArray.from_arrays([pa.array([s for x in sources for s in x], pa.string()), pa.array([c for x in counts for c in x], pa.int64())], ["source", "count"])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(term, pa.string()), pa.array(total, pa.int64()), lists(pairs, np.array([len(x) for x in sources]))],
-            ["lang", "term", "total", "postings"],
-        )
-
-    runs = index_runs(docs).repartition("lang", "shard").sortWithinPartitions("lang", "shard", "first")
+        for lang, block in merged(chunk for batch in batches for chunk in opened(batch)):
+            out = kept(lang, block, least)
+            if out.num_rows:
+                yield out
+
+    def opened(batch: pa.RecordBatch) -> Iterator[tuple[str, str, pa.Table]]:
+        sides = [batch.column(i) for i in range(2, 6)]
+        bounds, values = np.asarray(sides[0].offsets), [side.values for side in sides]
+        rows = pa.table(values, ["term", "source", "count", "docs"])
+        langs, firsts = (batch.column(i).to_pylist() for i in (0, 1))
+        for i in range(batch.num_rows):
+            yield langs[i], firsts[i], rows.slice(bounds[i], bounds[i + 1] - bounds[i])
+
+    runs = index_runs(docs).repartition("lang", "shard").sortWithinPartitions("lang", "first").drop("shard")
     return runs.mapInArrow(run, "lang string, term string, total long, postings array<struct<source:string,count:bigint>>")
 
 

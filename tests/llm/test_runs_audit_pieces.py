@@ -80,6 +80,8 @@ def test_runs_agree_with_brute_force(spark):
     got = period_runs.report(frame(spark, [(*r, "en", "s") for r in rows])).collect()
     assert ordered(got) == ordered(brute_runs(*r) for r in rows)
     assert sum(r.n_runs > 0 for r in got) > 80
+    # The same with the tiles of all but the shortest documents dealt out.
+    assert ordered(period_runs.report(frame(spark, [(*r, "en", "s") for r in rows]), far=50).collect()) == ordered(got)
 
 
 def test_runs_over_a_table(spark, sf):
@@ -135,8 +137,14 @@ def test_runs_of_postings_spill_and_merge(spark):
     whole = ordered(divergence_audit.frequencies(docs).collect())
     chunks = divergence_audit.index_runs(docs, block_bytes=1 << 14, chunk=5, shards=2).collect()
     assert len(chunks) > 400 and all(r.terms == sorted(r.terms) and r.first == r.terms[0] and len(r.terms) <= 5 for r in chunks)
-    merged = divergence_audit.merged(sorted((tuple(r) for r in chunks), key=lambda r: r[:3]))
-    assert [tuple(r) for r in ordered((a, b, c, list(zip(d, e, strict=True))) for a, b, c, d, e in divergence_audit._kept(merged, 3))] == [
+    table = {c: pa.array([x for r in chunks for x in r[c + "s" if c != "docs" else c]]) for c in ("term", "source", "count", "docs")}
+    whole_table, ends = pa.table(table), np.cumsum([len(r.terms) for r in chunks])
+    opened = sorted(((r.lang, r.first, int(e)) for r, e in zip(chunks, ends, strict=True)), key=lambda r: r[:2])
+    size = {int(e): len(r.terms) for r, e in zip(chunks, ends, strict=True)}
+    blocks = list(divergence_audit.merged(((lang, first, whole_table.slice(e - size[e], size[e])) for lang, first, e in opened), most=300))
+    assert len(blocks) > 20
+    rows = [row for lang, block in blocks for row in divergence_audit.kept(lang, block, 3).to_pylist()]
+    assert [(r["lang"], r["term"], r["total"], [(p["source"], p["count"]) for p in r["postings"]]) for r in rows] == [
         (r[0], r[1], r[2], [tuple(p) for p in r[3]]) for r in whole
     ]
 
