@@ -1,17 +1,20 @@
 """From raw documents to training shards: quality rules, near-duplicates, decontamination, mixing, sharding.
 
 Every stage takes the documents that its predecessor kept and returns documents; the last
-adds ``shard`` and ``slot``. The mixing stage's decision is the order of the rows it writes.
+adds ``shard``, ``slot`` and ``position``. The mixing stage's decision is the order of the rows it writes; the
+last stage reads that order from the files and keeps it as ``position``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from gitstrata.llm import dart_minhash, pfair_mix, quality_rules, template_windows, uniform_shards
-from gitstrata.llm.store import table, written
+from gitstrata.llm.store import free, table, written
 
 SHARDS = 40
 ORACLE_SQL = None
@@ -34,13 +37,31 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture."""
-    mixed = pfair_mix.mix(docs, by=["doc_id"])
-    return mixed.repartitionByRange("position").sortWithinPartitions("position").select(*[f"`{c}`" for c in docs.columns])
+    mixed = pfair_mix.mix(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "source"))
+    return mixed.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and place in it."""
-    return uniform_shards.shuffle(docs, SHARDS, by=["doc_id"])
+    """All documents with their shard, their slot in it, and ``position``, their place in the mixture: a shard read in this order is mixed."""
+    return uniform_shards.shuffle(placed(docs), SHARDS)
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``position``, the row's place in the order of the files it was read from; NULL if it comes from no file.
+
+    A column of that name is replaced. One number per file is added up; the rows are not sorted.
+    """
+    docs = docs.drop("position")
+    own = free(docs.columns, "file_")
+    try:
+        rows = docs.withColumns({f"{own}name": F.col("_metadata.file_path"), f"{own}row": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return docs.withColumn("position", F.lit(None).cast("long"))
+    sizes = rows.groupBy(f"{own}name").agg(F.count(F.lit(1)).alias(f"{own}rows"))
+    before = F.sum(f"{own}rows").over(Window.orderBy(f"{own}name")) - F.col(f"{own}rows")
+    sizes = sizes.select(f"{own}name", before.alias(f"{own}before"))
+    position = (F.col(f"{own}before") + F.col(f"{own}row")).alias("position")
+    return rows.join(sizes, f"{own}name").select(*[f"`{c}`" for c in docs.columns], position)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gitstrata.llm.store import written
+from gitstrata.llm.store import free, written
 from gitstrata.llm.words import Texts, lists, mix, signed, slices
 
 K, ROWS, SHINGLE, SIMILARITY = 128, 4, 5, 0.8
@@ -303,6 +303,7 @@ def keep(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     narrow = docs.select("doc_id", node.alias("node"), row.alias("row"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     rooted = narrow.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("class")).agg(first.alias("first"))
-    chosen = rooted.select(F.col("first.row").alias("keep_this_row"))
+    own = free(docs.columns, "keep_this_row")
+    chosen = rooted.select(F.col("first.row").alias(own))
     # Rows equal in every column differ by nothing; one of them stays.
-    return docs.withColumn("keep_this_row", row).join(chosen, "keep_this_row").dropDuplicates(["keep_this_row"]).select(*[f"`{c}`" for c in docs.columns])
+    return docs.withColumn(own, row).join(chosen, own).dropDuplicates([own]).select(*[f"`{c}`" for c in docs.columns])

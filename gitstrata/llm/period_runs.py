@@ -267,23 +267,26 @@ def stitch(found: DataFrame) -> DataFrame:
 
 
 def _collapse(texts: DataFrame) -> DataFrame:
-    """``(node, collapsed_sha256)``: the words of ``(node, h, runs, text)`` without the repeats in its runs."""
+    """``texts`` with ``collapsed_sha256`` in place of the last three columns ``h, runs, text``: the words without the repeats in the runs."""
+    keep = texts.columns[:-3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in slices(batch.column(3)):
-                h = np.asarray(batch.column(1).slice(t.row, len(t)))
+            hashes, found, text = batch.columns[-3:]
+            for t in slices(text):
+                h = np.asarray(hashes.slice(t.row, len(t)))
                 order, digests = word_order(t, h), []
                 for d in range(len(t)):
-                    runs = batch.column(2)[t.row + d].values
+                    runs = found[t.row + d].values
                     start, length, period = (np.asarray(runs.field(k)) for k in ("start", "length", "period"))
                     step = np.zeros(t.counts[d] + 1, np.int64)
                     np.add.at(step, start + period, 1)
                     np.add.at(step, start + length, -1)
                     digests.append(_digest(_joined(t, order, d, np.cumsum(step)[:-1] == 0)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.row, len(t)), pa.array(digests, pa.string())], ["node", "collapsed_sha256"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(t.row, len(t)) for c in batch.columns[:-3]], pa.array(digests, pa.string())], [*keep, "collapsed_sha256"])
 
-    return texts.select("node", "h", "runs", "text").mapInArrow(run, "node binary, collapsed_sha256 string")
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in texts.schema[:-3]]
+    return texts.mapInArrow(run, ", ".join([*kinds, "collapsed_sha256 string"]))
 
 
 def runs(docs: DataFrame, far: int = FAR) -> tuple[DataFrame, DataFrame]:
@@ -317,14 +320,15 @@ def report(docs: DataFrame, far: int = FAR) -> DataFrame:
     line = F.transform("sorted", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
     digest = F.sha2(F.concat(F.array_join(line, "\n"), F.lit("\n")).cast("binary"), 256)
     ids = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h")
-    changed = heads.filter("text IS NOT NULL").select("node", ids, "text").dropDuplicates(["node"]).join(lists.select("node", "runs"), "node")
-    summary = lists.select("node", "n_runs", F.col("longest.length").alias("length"), (-F.col("longest.start")).alias("start"), (-F.col("longest.period")).alias("period"), digest.alias("runs_sha256"))
-    full = heads.drop("text").join(summary, "node", "left").join(_collapse(changed), "node", "left")
-    return full.select(
-        "doc_id",
-        F.coalesce("n_runs", F.lit(0).cast("long")).alias("n_runs"),
-        "start", "length", "period",
-        F.call_function("div", F.col("length") * 1000, F.col("period")).alias("exponent_milli"),
-        F.coalesce("runs_sha256", F.lit(_digest(b""))).alias("runs_sha256"),
-        F.coalesce("collapsed_sha256", "whole").alias("collapsed_sha256"),
+    none = F.lit(None).cast("long")
+    # Texts without any fragment are done; the others meet their runs, and are shuffled only here.
+    quiet = heads.filter("text IS NULL").select(
+        "doc_id", F.lit(0).cast("long").alias("n_runs"), none.alias("start"), none.alias("length"), none.alias("period"),
+        F.lit(_digest(b"")).alias("runs_sha256"), F.col("whole").alias("collapsed_sha256"),
+    )
+    found = heads.filter("text IS NOT NULL").join(lists, "node", "left").select(
+        "doc_id", F.coalesce("n_runs", F.lit(0).cast("long")).alias("n_runs"), (-F.col("longest.start")).alias("start"), F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"), F.coalesce(digest, F.lit(_digest(b""))).alias("runs_sha256"), ids, F.coalesce("runs", F.array().cast(lists.schema["runs"].dataType)).alias("runs"), "text",
     )
+    exponent = F.call_function("div", F.col("length") * 1000, F.col("period")).alias("exponent_milli")
+    return quiet.unionByName(_collapse(found)).select("doc_id", "n_runs", "start", "length", "period", exponent, "runs_sha256", "collapsed_sha256")

@@ -13,7 +13,7 @@ row gets its place. There are at most as many such phases as sources.
 Defined cases: a NULL source is a source; a source without a target weight gets none of
 the first phase's slots and follows when the others are done (all such in equal shares);
 targets of absent sources are ignored; equal rows are interchangeable; an empty table
-gives no rows; columns named ``position`` or ``block`` are replaced.
+gives no rows; columns named ``position`` or ``block`` are replaced, and no other name of a column but ``source`` matters.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, PERIOD, CHUNK = 16, 1000, 4_000
+from gitstrata.llm.store import free
+
+BLOCK, CHUNK = 16, 4_000
 
 
 def whole(weights: dict[str, float]) -> dict[str, int]:
@@ -77,21 +79,21 @@ def phases(blocks: dict[str, int], targets: dict[str, float]) -> dict[str, array
 
 def mix(
     docs: DataFrame, targets: dict[str | None, float] | None = None, source: str = "source", by: list[str] | None = None,
-    block: int = BLOCK, period: int = PERIOD, seed: int = 3, chunk_rows: int = CHUNK,
+    block: int = BLOCK, seed: int = 3, chunk_rows: int = CHUNK,
 ) -> DataFrame:
     """``docs`` with ``block`` (number within the source) and ``position`` (0 onwards without gaps).
 
     ``targets`` defaults to the square root of each source's rows. ``by`` names the columns
     that order rows within a source through their hash (default: all). Order by ``position`` to read the mixture.
-    ``period`` is taken for older callers; nothing is rounded to it any more.
     """
     spark = docs.sparkSession
     docs = docs.drop("position", "block")
+    pre = free(docs.columns, "mix_")
     told = [F.col(f"`{c}`") for c in (by or docs.columns)]
     # One text per source, a NULL apart from every other.
     name = F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
-    rows = docs.withColumns({"mix_source": name, "mix_order": F.xxhash64(F.lit(seed), *told)})
-    sizes = {r["mix_source"]: r["count"] for r in rows.groupBy("mix_source").count().collect()}  # one row per source
+    rows = docs.withColumns({f"{pre}source": name, f"{pre}order": F.xxhash64(F.lit(seed), *told)})
+    sizes = {r[f"{pre}source"]: r["count"] for r in rows.groupBy(f"{pre}source").count().collect()}  # one row per source
     if not sizes:
         return docs.withColumns({"block": F.lit(0).cast("long"), "position": F.lit(0).cast("long")})
     wanted = {("" if s is None else f"={s}"): w for s, w in targets.items()} if targets else {s: math.sqrt(n) for s, n in sizes.items()}
@@ -101,26 +103,26 @@ def mix(
     short = [(plan[s][-1], block - n % block) for s, n in sizes.items() if n % block]
     # Number the rows of a source: chunks of its hash order, then rows within a chunk.
     bits = max(0, math.ceil(math.log2(max(sizes.values()) / chunk_rows)))
-    chunk = F.shiftright("mix_order", 64 - bits) if bits else F.lit(0).cast("long")
-    rows = rows.withColumn("mix_chunk", chunk)
+    chunk = F.shiftright(f"{pre}order", 64 - bits) if bits else F.lit(0).cast("long")
+    rows = rows.withColumn(f"{pre}chunk", chunk)
     told_slots, before = [], dict.fromkeys(sizes, 0)
-    for r in rows.groupBy("mix_source", "mix_chunk").count().orderBy("mix_source", "mix_chunk").collect():  # about one for chunk_rows rows
-        first = before[r["mix_source"]]
-        before[r["mix_source"]] += r["count"]
-        own = plan[r["mix_source"]][first // block : (first + r["count"] - 1) // block + 1]
-        told_slots.append((r["mix_source"], r["mix_chunk"], first, own.tolist()))
-    kind = "mix_source string, mix_chunk long, mix_before long, mix_slots array<bigint>"
+    for r in rows.groupBy(f"{pre}source", f"{pre}chunk").count().orderBy(f"{pre}source", f"{pre}chunk").collect():  # about one for chunk_rows rows
+        first = before[r[f"{pre}source"]]
+        before[r[f"{pre}source"]] += r["count"]
+        own = plan[r[f"{pre}source"]][first // block : (first + r["count"] - 1) // block + 1]
+        told_slots.append((r[f"{pre}source"], r[f"{pre}chunk"], first, own.tolist()))
+    kind = f"{pre}source string, {pre}chunk long, {pre}before long, {pre}slots array<bigint>"
     table = spark.createDataFrame(told_slots, kind)
-    within = F.row_number().over(Window.partitionBy("mix_source", "mix_chunk").orderBy("mix_order", *told)) - 1
-    numbered = rows.withColumn("mix_within", within)
-    placed = numbered.join(F.broadcast(table) if sum(blocks.values()) <= 1 << 20 else table, ["mix_source", "mix_chunk"])
-    placed = placed.withColumn("mix_index", F.col("mix_before") + F.col("mix_within"))
-    number = F.floor(F.col("mix_index") / block)
-    slot = F.col("mix_slots")[(number - F.floor(F.col("mix_before") / block)).cast("int")]
+    within = F.row_number().over(Window.partitionBy(f"{pre}source", f"{pre}chunk").orderBy(f"{pre}order", *told)) - 1
+    numbered = rows.withColumn(f"{pre}within", within)
+    placed = numbered.join(F.broadcast(table) if sum(blocks.values()) <= 1 << 20 else table, [f"{pre}source", f"{pre}chunk"])
+    placed = placed.withColumn(f"{pre}index", F.col(f"{pre}before") + F.col(f"{pre}within"))
+    number = F.floor(F.col(f"{pre}index") / block)
+    slot = F.col(f"{pre}slots")[(number - F.floor(F.col(f"{pre}before") / block)).cast("int")]
     lost = F.lit(0).cast("long")
     if short:
         gaps = F.array(*[F.struct(F.lit(a).cast("long").alias("slot"), F.lit(b).cast("long").alias("n")) for a, b in sorted(short)])
-        lost = F.aggregate(gaps, F.lit(0).cast("long"), lambda x, g: x + F.when(g["slot"] < F.col("mix_slot"), g["n"]).otherwise(F.lit(0)))
-    out = placed.withColumn("mix_slot", slot)
-    position = F.col("mix_slot") * block + F.col("mix_index") % block - lost
+        lost = F.aggregate(gaps, F.lit(0).cast("long"), lambda x, g: x + F.when(g["slot"] < F.col(f"{pre}slot"), g["n"]).otherwise(F.lit(0)))
+    out = placed.withColumn(f"{pre}slot", slot)
+    position = F.col(f"{pre}slot") * block + F.col(f"{pre}index") % block - lost
     return out.select(*[f"`{c}`" for c in docs.columns], number.cast("long").alias("block"), position.cast("long").alias("position"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from gitstrata.llm.store import free
 from gitstrata.llm.words import BLANK, Texts, slices
 
 SYMBOLS = "#*$%&|<>"
@@ -167,27 +168,28 @@ def fit(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
     return dict(zip(patterns.tolist(), good.tolist(), strict=True))
 
 
-def assess(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with one more column ``quality_rules``: the base counts, ``base_failed``, ``posterior``, ``kept``.
+def assess(docs: DataFrame, text: str = "text", threshold: float = 0.5, name: str = "quality_rules") -> DataFrame:
+    """``docs`` with one more column ``name`` (one of that name is replaced): the base counts, ``base_failed``, ``posterior``, ``kept``.
 
     The texts are read twice, once to count patterns and once to judge, and never shuffled.
     """
     spark = docs.sparkSession
-    m = F.col("quality_rules")
-    seen = docs.select(measured(F.col(text)).alias("quality_rules"))
+    docs = docs.drop(name)
+    m, own = F.col(f"`{name}`"), free([*docs.columns, name], "quality_rules_")
+    seen = docs.select(measured(F.col(text)).alias(name))
     counts = seen.groupBy(m["votes"].alias("votes")).count()
     posterior = fit({r["votes"]: r["count"] for r in counts.collect()})  # at most 3 ** len(RULES) rows
     known = spark.createDataFrame(list(posterior.items()), "votes int, posterior double")
-    judged = docs.withColumn("quality_rules", measured(F.col(text)))
-    known = F.broadcast(known.withColumnsRenamed({"votes": "quality_rules_votes", "posterior": "quality_rules_p"}))
+    judged = docs.withColumn(name, measured(F.col(text)))
+    known = F.broadcast(known.withColumnsRenamed({"votes": f"{own}votes", "posterior": f"{own}p"}))
     failed = base_failed(m)
-    p = F.col("quality_rules_p")
-    return judged.join(known, m["votes"] == F.col("quality_rules_votes"), "left").select(
+    p = F.col(f"{own}p")
+    return judged.join(known, m["votes"] == F.col(f"{own}votes"), "left").select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.struct(
             *[m[f].alias(f) for f in FIELDS], failed.alias("base_failed"), p.alias("posterior"),
             (~failed & F.coalesce(p >= threshold, F.lit(False))).alias("kept"),
-        ).alias("quality_rules"),
+        ).alias(name),
     )
 
 
@@ -200,4 +202,5 @@ def report(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text the rules keep, with their columns as they were."""
-    return assess(docs).filter(F.col("quality_rules.kept")).drop("quality_rules")
+    name = free(docs.columns, "quality_rules")
+    return assess(docs, name=name).filter(F.col(f"{name}.kept")).drop(name)

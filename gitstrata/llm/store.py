@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,3 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def remainder(column: str, modulus: int):
     """crc32 of a number's decimal text, modulo ``modulus``; NULL counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def free(columns: Iterable[str], stem: str) -> str:
+    """``stem``, with as many underscores before it as it takes for no column to begin with it."""
+    while any(c.lower().startswith(stem) for c in columns):
+        stem = f"_{stem}"
+    return stem

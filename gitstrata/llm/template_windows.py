@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gitstrata.llm.store import written
+from gitstrata.llm.store import free, written
 
 WINDOW, LITERALS, SHARE, CONSISTENT = 8, 3, 0.5, 0.8
 TOKEN = r"[0-9]+(?:[.,:/][0-9]+)*|[\p{L}\p{M}]+|[%$€£]"
@@ -238,7 +238,8 @@ def findings(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item is found, by template or by exact text; columns as they were."""
-    bad = _both(docs, benchmark).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
+    own = free(docs.columns, "bad_")
+    bad = _both(docs, benchmark).select(F.col("doc_id").alias(f"{own}id"), F.col("text_hash").alias(f"{own}hash"))
     bad = written(bad.distinct(), "contaminated")
-    same = (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("bad_hash")) & F.col("doc_id").eqNullSafe(F.col("bad_id"))
+    same = (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(f"{own}hash")) & F.col("doc_id").eqNullSafe(F.col(f"{own}id"))
     return docs.join(bad, same, "left_anti")

@@ -13,7 +13,7 @@ rows is refused. Rows stay in DataFrame windows and joins; the same seed gives t
 
 Defined cases: NULLs are hashed as such; rows that are equal in every column are
 interchangeable; an empty table gives no rows; shard sizes differ by one row at most;
-columns named ``shard`` or ``slot`` are replaced.
+columns named ``shard`` or ``slot`` are replaced, and no other name of a column matters.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gitstrata.llm.store import free
+
 ROWS, CELLS = 8192, 4_000_000
 
 
@@ -80,29 +82,30 @@ def shuffle(df: DataFrame, shards: int, by: list[str] | None = None, seed: int =
     """
     spark = df.sparkSession
     df = df.drop("shard", "slot")
+    own = free(df.columns, "shuffle_")
     told = [F.col(f"`{c}`") for c in (by or df.columns)]
     total = df.count()
     n_blocks = max(1, min(-(-total // rows), CELLS // shards))
     sizes = [total // shards + (j < total % shards) for j in range(shards)]
     dealt = df.withColumns({
-        "shuffle_block": F.pmod(F.xxhash64(F.lit(seed), *told), F.lit(n_blocks)).cast("int"),
-        "shuffle_here": F.xxhash64(F.lit(seed + 1), *told),
-        "shuffle_there": F.xxhash64(F.lit(seed + 2), *told),
+        f"{own}block": F.pmod(F.xxhash64(F.lit(seed), *told), F.lit(n_blocks)).cast("int"),
+        f"{own}here": F.xxhash64(F.lit(seed + 1), *told),
+        f"{own}there": F.xxhash64(F.lit(seed + 2), *told),
     })
-    counts = {r["shuffle_block"]: r["count"] for r in dealt.groupBy("shuffle_block").count().collect()}
+    counts = {r[f"{own}block"]: r["count"] for r in dealt.groupBy(f"{own}block").count().collect()}
     blocks = sorted(counts)
     ends = np.cumsum(communication([counts[b] for b in blocks], sizes, seed), axis=1)
-    plan = spark.createDataFrame([(b, e.tolist()) for b, e in zip(blocks, ends, strict=True)], "shuffle_block int, shuffle_ends array<long>")
-    local = Window.partitionBy("shuffle_block").orderBy("shuffle_here", "shuffle_there", *told)
-    ranked = dealt.withColumn("shuffle_rank", F.row_number().over(local)).join(F.broadcast(plan), "shuffle_block")
-    shard = F.size(F.filter("shuffle_ends", lambda e: e < F.col("shuffle_rank"))).cast("int")
+    plan = spark.createDataFrame([(b, e.tolist()) for b, e in zip(blocks, ends, strict=True)], f"{own}block int, {own}ends array<long>")
+    local = Window.partitionBy(f"{own}block").orderBy(f"{own}here", f"{own}there", *told)
+    ranked = dealt.withColumn(f"{own}rank", F.row_number().over(local)).join(F.broadcast(plan), f"{own}block")
+    shard = F.size(F.filter(f"{own}ends", lambda e: e < F.col(f"{own}rank"))).cast("int")
     bits = max(0, math.ceil(math.log2(max(sizes[0], 1) / rows)))
-    chunk = F.shiftright("shuffle_there", 64 - bits) if bits else F.lit(0).cast("long")
-    sent = ranked.withColumns({"shard": shard, "shuffle_chunk": chunk}).drop("shuffle_ends", "shuffle_rank", "shuffle_block")
+    chunk = F.shiftright(f"{own}there", 64 - bits) if bits else F.lit(0).cast("long")
+    sent = ranked.withColumns({"shard": shard, f"{own}chunk": chunk}).drop(f"{own}ends", f"{own}rank", f"{own}block")
     # How many rows of a shard lie before each chunk; the texts are not read for it.
-    before = F.sum("count").over(Window.partitionBy("shard").orderBy("shuffle_chunk").rowsBetween(Window.unboundedPreceding, -1))
-    per = sent.groupBy("shard", "shuffle_chunk").count().select("shard", "shuffle_chunk", F.coalesce(before, F.lit(0)).alias("shuffle_before"))
-    again = Window.partitionBy("shard", "shuffle_chunk").orderBy("shuffle_there", "shuffle_here", *told)
-    numbered = sent.withColumn("shuffle_within", F.row_number().over(again) - 1).join(per, ["shard", "shuffle_chunk"])
-    slot = (F.col("shuffle_before") + F.col("shuffle_within")).cast("long")
+    before = F.sum("count").over(Window.partitionBy("shard").orderBy(f"{own}chunk").rowsBetween(Window.unboundedPreceding, -1))
+    per = sent.groupBy("shard", f"{own}chunk").count().select("shard", f"{own}chunk", F.coalesce(before, F.lit(0)).alias(f"{own}before"))
+    again = Window.partitionBy("shard", f"{own}chunk").orderBy(f"{own}there", f"{own}here", *told)
+    numbered = sent.withColumn(f"{own}within", F.row_number().over(again) - 1).join(per, ["shard", f"{own}chunk"])
+    slot = (F.col(f"{own}before") + F.col(f"{own}within")).cast("long")
     return numbered.select(*[f"`{c}`" for c in df.columns], "shard", slot.alias("slot"))

@@ -374,11 +374,11 @@ def test_communication_matrix_is_exact_and_uniform():
 
 
 def test_pfair_mix(spark, docs, nothing):
-    rows = pfair_mix.mix(docs, block=2, period=30, chunk_rows=5).orderBy("position").collect()
+    rows = pfair_mix.mix(docs, block=2, chunk_rows=5).orderBy("position").collect()
     assert [r.position for r in rows] == list(range(docs.count()))
     table = spark.range(900).select("id", F.when(F.col("id") < 600, "a").when(F.col("id") < 800, "b").otherwise("c").alias("source"))
     weights = {"a": 3.0, "b": 2.0, "c": 1.0, "absent": 5.0}
-    rows = pfair_mix.mix(table, weights, block=5, period=60).orderBy("position").collect()
+    rows = pfair_mix.mix(table, weights, block=5).orderBy("position").collect()
     exact, seen, stop = {"a": 0.5, "b": 1 / 3, "c": 1 / 6}, collections.Counter(), 500
     for i, r in enumerate(rows[:stop]):
         seen[r.source] += 1
@@ -412,11 +412,57 @@ def test_pipeline_and_queries(spark, sf):
 
     out = corpus_pipeline.run(spark, sf)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert out.columns == [*docs.columns, "shard", "slot"]
+    assert out.columns == [*docs.columns, "position", "shard", "slot"]
     passed = {r.doc_id for r in quality_rules.report(docs).filter("kept").collect()}
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in passed]
     classes = brute_classes(rows)
     items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     want = {i for i, t in rows if classes[i] == i and not any(x in t for x in items)}
     assert {r.doc_id for r in out.collect()} == want
-    assert len(queries.QUERIES) == 10
+    # The order of the mixture is there to read: every stretch of it holds each source by its weight, less than a block away.
+    order = [r.source for r in out.orderBy("position").collect()]
+    assert sorted(r.position for r in out.select("position").collect()) == list(range(len(want)))
+    mixed = pfair_mix.mix(out.drop("position", "shard", "slot")).orderBy("position")
+    assert order == [r.source for r in mixed.collect()]
+    assert len(queries.QUERIES) == 13
+
+
+CLASHING = [
+    "quality_rules", "quality_rules_p", "quality_rules_votes", "bad_id", "bad_hash", "keep_this_row", "file_name", "file_row", "file_before", "node", "row", "class",
+    "shuffle_block", "shuffle_here", "shuffle_there", "shuffle_ends", "shuffle_rank", "shuffle_chunk", "shuffle_before", "shuffle_within", "count",
+    "mix_source", "mix_order", "mix_chunk", "mix_before", "mix_slots", "mix_within", "mix_index", "mix_slot", "Mix_Slot_2", "block", "position", "shard", "slot", "kept", "text_hash", "root",
+]
+
+
+def test_stages_leave_any_further_column_as_it_is(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(120)
+    wide = docs.select("*", *[F.concat(F.lit(f"{c}="), F.col("doc_id")).alias(c) for c in CLASHING])
+    wide.write.parquet(str(tmp_path / "wide"))
+    wide = spark.read.parquet(str(tmp_path / "wide"))
+    whole = {str(r) for r in wide.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, sf)
+        if name == "shards":
+            made = ["shard", "slot", "position"]
+            assert sorted(out.columns) == sorted(wide.columns)
+            rows = {str(r) for r in out.drop(*made).collect()}
+            assert rows == {str(r) for r in wide.drop(*made).collect()}
+            continue
+        assert out.columns == wide.columns, name
+        got = [str(r) for r in out.collect()]
+        assert got and set(got) <= whole and len(set(got)) == len(got), name
+        assert name != "mixture" or set(got) == whole
+
+
+def test_rows_without_id_spread_over_the_last_stages(spark, sf):
+    import corpus_pipeline
+
+    rows = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    out = corpus_pipeline.shards(spark, corpus_pipeline.mixture(spark, rows, sf), sf).collect()
+    assert len({r.text for r in out}) == len(out) == 30_000
+    assert all(n == 750 for n in collections.Counter(r.shard for r in out).values()) and {r.position for r in out} == {None}
+    # No block of equal hashes: the texts tell the rows apart.
+    told = rows.select(F.pmod(F.xxhash64(F.lit(11), *[F.col(c) for c in rows.columns]), F.lit(4)).alias("b")).groupBy("b").count().collect()
+    assert max(r["count"] for r in told) < 9_000
