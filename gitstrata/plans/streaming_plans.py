@@ -8,6 +8,7 @@ from gitstrata.operators import scan as scans
 from gitstrata.plans.registry import query
 from gitstrata.plans.scan_plans import SEC, TEXT_FILES, findings_sql
 from gitstrata.session import shared_folder
+from gitstrata.sources.versions import PartTable
 from gitstrata.streaming import jobs
 
 
@@ -16,7 +17,6 @@ FILES_PER_BATCH = 64
 
 def source(t, table: str, columns: dict[str, str]):
     """A stream over the table's file with its time column as a timestamp."""
-    t.spark.conf.set("spark.sql.session.timeZone", "UTC")
     raw = jobs.read_stream(t.spark, t.sf_dir, getattr(t, table).schema, f"{table}.parquet", FILES_PER_BATCH)
     return raw.withColumns({name: F.expr(text) for name, text in columns.items()})
 
@@ -27,11 +27,12 @@ def finished(t, stream, mode: str = "append"):
     return t.spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def merged(t, stream, part, merge):
-    """All rows of a stream, as parts per micro-batch put together."""
+def merged(t, stream, part, schema, fold, finish=lambda rows: rows):
+    """All rows of a stream, as steps of a table that adds them up."""
     root = shared_folder(t.spark, "stream")
-    jobs.write_parts(stream, part, f"{root}/parts", f"{root}/checkpoint").awaitTermination()
-    return merge(t.spark.read.parquet(f"{root}/parts"))
+    table = PartTable(t.spark, f"{root}/parts", schema, fold)
+    jobs.write_steps(stream, part, table, f"{root}/checkpoint").awaitTermination()
+    return finish(table.read())
 
 
 def events(t):
@@ -43,14 +44,15 @@ def events(t):
 @query("stream_timeline", """
 SELECT CAST(user_id % 20 AS VARCHAR) AS repository_id, CAST(ts AS DATE) AS period, event_type AS pattern_id, count(*) AS occurrences FROM events GROUP BY 1, 2, 3""")
 def _(t):
-    return merged(t, events(t), jobs.timeline_part, jobs.merge_timeline)
+    return merged(t, events(t), jobs.timeline_part, "repository_id string, period date, pattern_id string, occurrences long", jobs.merge_timeline)
 
 
 @query("stream_metric_average", """
 WITH w AS (SELECT event_type AS name, value, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 5 HOUR, time_bucket(INTERVAL 1 HOUR, ts), INTERVAL 1 HOUR)) AS window_start FROM events)
 SELECT name, window_start, window_start + INTERVAL 6 HOUR AS window_end, round(avg(value), 6) AS average, count(*) AS points FROM w GROUP BY 1, 2""")
 def _(t):
-    out = merged(t, events(t), lambda rows: jobs.average_part(rows, "6 hours", "1 hour"), jobs.merge_average)
+    schema = "name string, window_start timestamp, window_end timestamp, total double, n_values long, points long"
+    out = merged(t, events(t), lambda rows: jobs.average_part(rows, "6 hours", "1 hour"), schema, jobs.fold_average, jobs.merge_average)
     return out.withColumn("average", F.round("average", 6)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
@@ -64,7 +66,9 @@ def _(t):
 WITH s AS (SELECT event_id, event_type AS name, ts, CASE WHEN value >= 90 THEN 'critical' WHEN value >= 75 THEN 'warning' ELSE 'healthy' END AS status FROM events),
  l AS (SELECT *, lag(status) OVER (PARTITION BY name ORDER BY ts, event_id) AS previous_status FROM s) SELECT name, event_id, previous_status, status FROM l WHERE previous_status <> status""")
 def _(t):
-    return finished(t, jobs.stream_alerts(events(t))).drop("ts")
+    run, read = jobs.alert_writer(t.spark, shared_folder(t.spark, "alerts"))
+    jobs.write_batches(events(t), run, shared_folder(t.spark, "checkpoint")).awaitTermination()
+    return read().drop("ts")
 
 
 @query("stream_new_commits", "SELECT CAST(o_custkey % 50 AS VARCHAR) AS repository_id, CAST(o_orderkey AS VARCHAR) AS hash FROM orders GROUP BY 1, 2")
@@ -79,12 +83,42 @@ def _(t):
 @query("stream_activity_sessions", """
 WITH o AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS starts FROM events),
  g AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM o), a AS (SELECT user_id, min(ts) AS started_at, max(ts) + INTERVAL 6 HOUR AS ended_at, count(*) AS events FROM g GROUP BY user_id, s)
-SELECT * FROM a WHERE ended_at <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+SELECT * FROM a""")
 def _(t):
-    out = finished(t, jobs.stream_sessions(events(t), "6 hours", "1 hour"))
+    part, fold = (lambda rows, fn=fn: fn(rows, "6 hours") for fn in (jobs.activity_part, jobs.merge_activity))
+    out = merged(t, events(t), part, "user_id long, first timestamp, last timestamp, events long", fold)
+    return out.select("user_id", *[F.col(a).cast("timestamp_ntz").alias(b) for a, b in (("first", "started_at"),)], (F.col("last") + F.expr("INTERVAL 6 HOURS")).cast("timestamp_ntz").alias("ended_at"), "events")
+
+
+STEPS = """SELECT CAST(conv_id AS VARCHAR(20)) AS session_id, CAST(turn AS BIGINT) AS step, CASE role WHEN 'user' THEN 'running' WHEN 'assistant' THEN 'completed' ELSE 'created' END AS status, {ts} AS ts FROM {table}"""
+
+
+@query("stream_lifecycle", f"""
+WITH s AS ({STEPS.format(ts="TIMESTAMP '2024-01-01' + to_seconds(conv_id * 60 + turn * turn * 7)", table="conversations")}),
+ g AS (SELECT session_id, max_by(status, (ts, step)) AS status, min(ts) AS started_at, max(ts) AS last, count(DISTINCT step) AS steps FROM s GROUP BY 1)
+SELECT session_id, status, started_at, CASE WHEN status = 'completed' THEN last END AS ended_at, steps, CASE WHEN status = 'completed' THEN date_diff('second', started_at, last) END AS duration_seconds, status <> 'completed' AS is_open FROM g""")
+def _(t):
+    """Sessions from their steps: running, ended, how long, still open."""
+    at = "timestampadd(SECOND, cast(conv_id * 60 + turn * turn * 7 as int), timestamp '2024-01-01 00:00:00')"
+    status = "CASE role WHEN 'user' THEN 'running' WHEN 'assistant' THEN 'completed' ELSE 'created' END"
+    steps = source(t, "conversations", {"session_id": "cast(conv_id as string)", "step": "turn", "status": status, "ts": at})
+    out = merged(t, steps, jobs.lifecycle_part, jobs.LIFECYCLE_PART, jobs.merge_lifecycle, jobs.lifecycle)
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ended_at")})
 
 
+@query("stream_technologies", """
+WITH b AS (SELECT CAST(l_suppkey % 40 AS VARCHAR(20)) AS repository_id, p_name AS name, p_type AS category, 1 AS usage_count, l_shipdate AS seen, nullif(p_brand, 'Brand#11') AS version FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT repository_id, name, category, count(*) AS usage_count, min(seen) AS first_seen, max(seen) AS last_seen, max_by(version, (seen, version)) FILTER (version IS NOT NULL) AS version FROM b GROUP BY 1, 2, 3""")
+def _(t):
+    """Technologies merged batch by batch: usage added, time range widened, newest version kept."""
+    lines = source(t, "lineitem", {"seen": "cast(l_shipdate as timestamp)"})
+    rows = lines.join(t.part, lines.l_partkey == t.part.p_partkey).select(
+        (F.col("l_suppkey") % 40).cast("string").alias("repository_id"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.lit(1).cast("long").alias("usage_count"),
+        F.col("seen").alias("first_seen"), F.col("seen").alias("last_seen"), F.nullif("p_brand", F.lit("Brand#11")).alias("version"))
+    out = merged(t, rows, jobs.technology_part, jobs.TECHNOLOGY_PART, jobs.merge_technology_parts, jobs.technology_rows)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen", "last_seen")})
+
+
 @query("session_status", """
 SELECT session_id, max_by(status, turn) AS status, min(turn) AS first_step, max(turn) AS last_step, count(*) AS steps, max_by(status, turn) NOT IN ('completed', 'failed', 'cancelled') AS is_open FROM f_sessions GROUP BY 1""", "f_sessions")
 def _(t):
@@ -94,15 +128,12 @@ def _(t):
 @query("stream_scan", findings_sql(SEC, "security").replace("WITH ", f"WITH f_code AS ({TEXT_FILES}), ", 1) + "SELECT repository_id, path, name, line_number, severity FROM findings")
 def _(t):
     files = source(t, "documents", {"repository_id": "source", "path": "cast(doc_id as string)", "content": "text", "language": "lang"})
-    root = shared_folder(t.spark, "scan")
-
     def scan(batch):
         return scans.scan(batch, SEC).select("repository_id", "path", "name", "line_number", "severity")
 
-    step = jobs.file_scanner(f"{root}/results", f"{root}/snapshot", scan)
-    run = jobs.write_batches(files.select("repository_id", "path", "content", "language"), step, f"{root}/checkpoint")
-    run.awaitTermination()
-    return t.spark.read.parquet(f"{root}/results/v{jobs.last_batch(run) + 1}")
+    run, results = jobs.file_watcher(t.spark, shared_folder(t.spark, "scan"), "repository_id string, path string, name string, line_number int, severity string", scan)
+    jobs.write_batches(files.select("repository_id", "path", "content", "language"), run, shared_folder(t.spark, "checkpoint")).awaitTermination()
+    return results.read()
 
 
 @query("stream_usage", """
@@ -110,5 +141,6 @@ WITH w AS (SELECT 'model' || CAST(l_suppkey % 5 AS VARCHAR) AS model_name, time_
 SELECT model_name, period_start, count(*) AS analyses, CAST(sum(l_partkey) AS BIGINT) AS total_tokens, round(sum(l_tax), 6) AS total_cost FROM w GROUP BY 1, 2""")
 def _(t):
     rows = source(t, "lineitem", {"model_name": "concat('model', cast(l_suppkey % 5 as string))", "total_tokens": "l_partkey", "cost_estimate": "l_tax", "created_at": "cast(l_shipdate as timestamp)"})
-    out = merged(t, rows, jobs.usage_part, jobs.merge_usage)
+    schema = "model_name string, period_start timestamp, analyses long, total_tokens long, total_cost double"
+    out = merged(t, rows, jobs.usage_part, schema, jobs.merge_usage)
     return out.withColumn("total_cost", F.round("total_cost", 6)).withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))

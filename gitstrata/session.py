@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,3 +52,10 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         root = _local_folder()
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex[:12]}")
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read again: later steps do not work it out anew."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,15 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from gitstrata.functions.common import non_empty, resolve_as_of
 from gitstrata.operators.health import metric_status
-from gitstrata.operators.incremental import diff_snapshots, merge_results
-from gitstrata.sources.stores import new_commits
+from gitstrata.operators.incremental import FILE, diff_snapshots
+from gitstrata.sources.stores import TECHNOLOGY_KEY, new_commits
+from gitstrata.sources.versions import KeyedTable, PartTable
 from gitstrata.streaming import state
 
 
@@ -116,31 +119,50 @@ def session_status(events: DataFrame, order: str) -> DataFrame:
     return out.withColumn("is_open", ~F.col("status").isin("completed", "failed", "cancelled"))
 
 
-def file_scanner(results_path: str, snapshot_path: str, scan: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """Batch writer that scans only files new or changed since the stored snapshot.
+def file_watcher(spark: SparkSession, path: str, results_schema: str, scan: Callable[[DataFrame], DataFrame], compact_every: int = 16) -> tuple[Callable[[DataFrame, int], None], KeyedTable]:
+    """A batch writer that scans only files that are new or changed, and the table of all results.
 
-    Every batch writes a new version of both tables (version = batch + 1, read from
-    version = batch), so a retried batch overwrites its own version only.
+    Both the hashes seen so far and the results are kept by file: a batch writes the rows of its changed files and nothing
+    else, and a file without findings takes its old ones away. Files absent from a batch are untouched.
     """
+    seen = KeyedTable(spark, f"{path}/seen", FILE, "repository_id string, path string, content_hash string", compact_every)
+    results = KeyedTable(spark, f"{path}/results", FILE, results_schema, compact_every)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        snap = batch.select("repository_id", "path", F.sha2("content", 256).alias("content_hash"))
-        if batch_id == 0:
-            known, earlier = snap.limit(0), None
-        else:
-            known = spark.read.parquet(f"{snapshot_path}/v{batch_id}")
-            earlier = spark.read.parquet(f"{results_path}/v{batch_id}")
-        # files absent from the batch are untouched, not deleted
-        diff = diff_snapshots(known, snap).filter("change_type <> 'deleted'")
-        changed = batch.join(diff.select("repository_id", "path"), ["repository_id", "path"], "left_semi")
-        fresh = scan(changed)
-        merged = fresh if earlier is None else merge_results(earlier, fresh, diff)
-        merged.write.mode("overwrite").parquet(f"{results_path}/v{batch_id + 1}")
-        keep = known.join(snap, ["repository_id", "path"], "left_anti").unionByName(snap)
-        keep.write.mode("overwrite").parquet(f"{snapshot_path}/v{batch_id + 1}")
-
-    return run
+        batch = batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            snap = batch.select(*FILE, F.sha2("content", 256).alias("content_hash"))
+            known = seen.read(batch_id - 1).join(snap.select(*FILE), FILE, "left_semi")
+            new = diff_snapshots(known, snap).filter("change_type <> 'deleted'").select(*FILE)
+            results.put(scan(batch.join(new, FILE, "left_semi")), batch_id, gone=new)
+            seen.put(snap.join(new, FILE, "left_semi"), batch_id)
+        finally:
+            batch.unpersist()
+
+    return run, results
+
+
+TECHNOLOGY_PART = (
+    "repository_id string, name string, category string, usage_count long, first_seen timestamp, last_seen timestamp, "
+    "newest struct<seen:timestamp,version:string>"
+)
+
+
+def technology_part(rows: DataFrame) -> DataFrame:
+    """Technologies of a micro-batch; a version keeps the time at which it was seen, so parts add up in any order."""
+    version = non_empty("version")
+    newest = F.when(version.isNotNull(), F.struct(F.col("last_seen").alias("seen"), version.alias("version")))
+    return merge_technology_parts(rows.select(*TECHNOLOGY_KEY, "usage_count", "first_seen", "last_seen", newest.alias("newest")))
+
+
+def merge_technology_parts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy(*TECHNOLOGY_KEY).agg(
+        F.sum("usage_count").alias("usage_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("newest").alias("newest")
+    )
+
+
+def technology_rows(parts: DataFrame) -> DataFrame:
+    return parts.withColumn("version", F.col("newest.version")).drop("newest")
 
 
 def stream_usage(results: DataFrame, length: str = "30 days", delay: str = "30 days") -> DataFrame:
@@ -179,6 +201,11 @@ def average_part(metrics: DataFrame, length: str = "5 minutes", slide: str = "1
     return sums.select("name", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "total", "n_values", "points")
 
 
+def fold_average(parts: DataFrame) -> DataFrame:
+    """Parts of equal windows added up; still parts."""
+    return parts.groupBy("name", "window_start", "window_end").agg(*[F.sum(c).alias(c) for c in ("total", "n_values", "points")])
+
+
 def merge_average(parts: DataFrame) -> DataFrame:
     mean = F.try_divide(F.sum("total"), F.sum("n_values"))
     return parts.groupBy("name", "window_start", "window_end").agg(mean.alias("average"), F.sum("points").alias("points"))
@@ -195,6 +222,109 @@ def merge_usage(parts: DataFrame) -> DataFrame:
     return parts.groupBy("model_name", "period_start").agg(*[F.sum(c).alias(c) for c in ("analyses", "total_tokens", "total_cost")])
 
 
+def write_steps(stream: DataFrame, part: Callable[[DataFrame], DataFrame], table: PartTable, checkpoint: str) -> StreamingQuery:
+    """``part`` of every micro-batch as one step of ``table``, which folds them from time to time."""
+    return write_batches(stream, lambda batch, batch_id: table.write(part(batch), batch_id), checkpoint)
+
+
+def activity_part(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Stretches of a user's events with no pause longer than ``gap``."""
+    return merge_activity(events.select("user_id", F.col("ts").alias("first"), F.col("ts").alias("last"), F.lit(1).cast("long").alias("events")), gap)
+
+
+def merge_activity(parts: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Stretches joined where no more than ``gap`` lies between them: the same as over all events at once, in any order.
+
+    Stretches of one day are joined first, so the last step sorts few rows of a user that sends a third of all events.
+    """
+    pause = F.expr(f"INTERVAL {gap}")
+
+    def joined(rows: DataFrame, keys: list[str]) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("first", "last")
+        before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        new = F.when(F.col("first") <= before + pause, 0).otherwise(1)
+        part = F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        marked = rows.withColumn("new", new).withColumn("part", part)
+        return marked.groupBy(*keys, "part").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("events").alias("events")).drop("part")
+
+    days = joined(parts.withColumn("day", F.to_date("first")), ["user_id", "day"]).drop("day")
+    return joined(days, ["user_id"])
+
+
+ALERT_POINT = "name string, bucket long, event_id long, ts timestamp, status string"
+
+
+def alert_writer(spark: SparkSession, path: str, bucket_minutes: int = 60, compact_every: int = 64) -> tuple[Callable[[DataFrame, int], None], Callable[[], DataFrame]]:
+    """A batch writer for points of metrics, and a reader of all points at which a metric's status changes.
+
+    Rows may come in any order. Every time bucket of a metric keeps a summary: its first and last status and the changes inside. A
+    batch works out anew the buckets that it has rows for. Changes between buckets come from the summaries on reading.
+    """
+    points = PartTable(spark, f"{path}/points", ALERT_POINT, lambda rows: rows, compact_every)
+    buckets = KeyedTable(spark, f"{path}/buckets", ["name", "bucket"], f"{ALERT_POINT}, previous_status string, last_status string", compact_every)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        bucket = F.floor(F.unix_micros("ts") / F.lit(bucket_minutes * 60_000_000)).cast("long")
+        points.write(metric_status(batch).select("name", bucket.alias("bucket"), "event_id", "ts", "status"), batch_id)
+        new = points.stored("change", [batch_id])
+        ends = new.agg(F.min("bucket"), F.max("bucket")).first()
+        if ends[0] is None:
+            return
+        rows = points.read(batch_id).filter(F.col("bucket").between(*ends)).join(new.select("name", "bucket").distinct(), ["name", "bucket"], "left_semi")
+        order = Window.partitionBy("name", "bucket").orderBy("ts", "event_id")
+        whole = Window.partitionBy("name", "bucket")
+        before = F.lag("status").over(order)
+        last = F.max_by("status", F.struct("ts", "event_id")).over(whole)
+        runs = rows.withColumn("previous_status", before).withColumn("last_status", last)
+        first = F.col("previous_status").isNull()
+        runs = runs.withColumn("last_status", F.when(first, F.col("last_status"))).filter(first | (F.col("previous_status") != F.col("status")))
+        buckets.put(runs, batch_id)
+
+    def read() -> DataFrame:
+        rows = buckets.read()
+        inside = rows.filter("previous_status IS NOT NULL").drop("last_status")
+        across = F.lag("last_status").over(Window.partitionBy("name").orderBy("bucket"))
+        firsts = rows.filter("previous_status IS NULL").withColumn("previous_status", across).drop("last_status")
+        return inside.unionByName(firsts).filter("previous_status <> status").drop("bucket")
+
+    return run, read
+
+
+LIFECYCLE_PART = "session_id string, started_at timestamp, latest struct<ts:timestamp,step:bigint,status:string>, seen array<bigint>"
+TERMINAL = ("completed", "failed", "cancelled")
+
+
+def lifecycle_part(steps: DataFrame) -> DataFrame:
+    """What the steps ``session_id, step, status, ts`` of a micro-batch say about their sessions."""
+    step, ts = F.col("step").cast("long"), F.col("ts").cast("timestamp")
+    latest = F.struct(ts.alias("ts"), step.alias("step"), "status")
+    return steps.groupBy("session_id").agg(F.min(ts).alias("started_at"), F.max(latest).alias("latest"), F.collect_set(step).alias("seen"))
+
+
+def merge_lifecycle(parts: DataFrame) -> DataFrame:
+    """Parts of equal sessions as one part, in whatever order the steps came."""
+    seen = F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("seen")
+    return parts.groupBy("session_id").agg(F.min("started_at").alias("started_at"), F.max("latest").alias("latest"), seen)
+
+
+def lifecycle(parts: DataFrame, idle: str | None = None, as_of: Column | None = None) -> DataFrame:
+    """Every session: its status (that of the latest step), start, end, length, number of steps, and whether it is open.
+
+    A session ends with a terminal step. With ``idle``, an open session without a step for that long before
+    ``as_of`` (by default the latest step of all) is ``timed_out``; a later step opens it again. Repeated steps count once.
+    """
+    rows = parts.select("session_id", "started_at", F.col("latest.ts").alias("last"), F.col("latest.status").alias("status"), F.size("seen").cast("long").alias("steps"))
+    ended = F.coalesce(F.col("status").isin(*TERMINAL), F.lit(False))
+    status = F.col("status")
+    if idle is not None:
+        stale = F.col("last") + F.expr(f"INTERVAL {idle}") <= resolve_as_of(rows, "last", as_of)
+        status = F.when(~ended & stale, "timed_out").otherwise(status)
+    return rows.select(
+        "session_id", status.alias("status"), "started_at", F.when(ended, F.col("last")).alias("ended_at"), "steps",
+        F.when(ended, F.timestamp_diff("SECOND", F.col("started_at"), F.col("last"))).alias("duration_seconds"), (~ended).alias("is_open"),
+    )
+
+
 def last_batch(query: StreamingQuery) -> int:
     """Number of the last micro-batch that read rows."""
     return max(p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0)

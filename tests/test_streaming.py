@@ -93,12 +93,12 @@ def test_scanner_touches_only_changed_files(spark, root):
         seen.append(sorted(r.path for r in files.select("path").collect()))
         return files.select("repository_id", "path", F.length("content").alias("n"))
 
-    step = jobs.file_scanner(f"{root}/results", f"{root}/snapshot", scan)
+    step, results = jobs.file_watcher(spark, root, "repository_id string, path string, n int", scan)
     schema = "repository_id string, path string, content string"
     step(spark.createDataFrame([("r", "a", "1"), ("r", "b", "1")], schema), 0)
     step(spark.createDataFrame([("r", "a", "1"), ("r", "b", "22"), ("r", "c", "1")], schema), 1)
     assert seen == [["a", "b"], ["b", "c"]]
-    got = {(r.path, r.n) for r in spark.read.parquet(f"{root}/results/v2").collect()}
+    got = {(r.path, r.n) for r in results.read().collect()}
     assert got == {("a", 1), ("b", 2), ("c", 1)}
 
 
