@@ -198,12 +198,14 @@ def test_blocks_of_four_shapes(spark):
     js = "const go = () => {\n  let a = 1111111111111111;\n  return a + 2222222222;\n}\nrest()\n"
     rb = "def run\n  puts 'a long enough line of ruby text here'\nend\nputs 1\n"
     other = "class Thing\n" + "".join(f"line number {i}\n" for i in range(30))
-    got = {lang: list(blocks.blocks_of(text, lang)) for lang, text in (("Python", py), ("JavaScript", js), ("Ruby", rb), ("Cobol", other))}
+    schema, got = "repository_id string, path string, language string, content string", {}
+    for r in sorted(blocks.code_blocks(spark.createDataFrame([("r", lang, lang, text) for lang, text in (("Python", py), ("JavaScript", js), ("Ruby", rb), ("Cobol", other))], schema)).collect(), key=lambda r: r.start_line):
+        got.setdefault(r.language, []).append((r.start_line, r.code))
     assert got["Python"] == [(1, "\n".join(py.split("\n")[:3]))]
     assert got["JavaScript"] == [(1, js.split("\nrest")[0])]
     assert got["Ruby"] == [(1, "\n".join(rb.split("\n")[:3]))]
     assert [(n, len(t.split("\n"))) for n, t in got["Cobol"]] == [(1, 16)]
-    files = spark.createDataFrame([("r", "a", "Python", py), ("r", "b", "Other", None)], "repository_id string, path string, language string, content string")
+    files = spark.createDataFrame([("r", "a", "Python", py), ("r", "b", "Other", None)], schema)
     assert [r.start_line for r in blocks.code_blocks(files).collect()] == [1]
 
 
