@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gitstrata.functions.common import contains_any, joined, top_n_per_key
@@ -329,7 +329,7 @@ def dedupe_technologies(found: DataFrame) -> DataFrame:
 def version_key(version: Column) -> Column:
     """Numeric parts of a version as an array, which compares part by part."""
     number = F.regexp_extract(version, r"(\d+(?:\.\d+)*)", 1)
-    return F.when(number != "", F.transform(F.split(number, r"\."), lambda part: part.cast("int")))
+    return F.when(number != "", F.transform(F.split(number, r"\."), lambda part: part.try_cast("long")))
 
 
 def vulnerable_dependencies(deps: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
@@ -341,6 +341,42 @@ def vulnerable_dependencies(deps: DataFrame, advisories: DataFrame | None = None
     return deps.join(advisories, ["ecosystem", "package"]).filter(version_key(F.col("version")) < version_key(F.col("below")))
 
 
+def vulnerable_ranges(deps: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Dependencies whose version lies in a range of an advisory: ``ecosystem, package, introduced, fixed, cve``.
+
+    A range holds ``introduced`` (NULL: from the first version on) and ends before ``fixed`` (NULL: has no end). A version
+    without a number lies in no range. A package's versions are few however many manifests name them, so each distinct version
+    meets the package's ranges once, by places on a line of all its versions and bounds: the first and the last version inside a
+    range are looked up there, and versions are found by the blocks of places that a range covers.
+    Manifests then meet only the versions that are hit.
+    """
+    key = ["ecosystem", "package"]
+    rows = deps.withColumn("_version", version_key(F.col("version")))
+    # Each version and each bound once, in order; a bound stands before an equal version.
+    versions = rows.filter("_version IS NOT NULL").select(*key, F.col("_version").alias("at"), F.lit(1).alias("side")).distinct()
+    own = advisories.select(*key, version_key(F.col("introduced")).alias("low"), version_key(F.col("fixed")).alias("high"), "introduced", "fixed", "cve")
+    bounds = own.select(*key, F.explode(F.array("low", "high")).alias("at"), F.lit(0).alias("side")).filter("at IS NOT NULL").distinct()
+    line = versions.unionByName(bounds.join(versions.select(*key).distinct(), key, "left_semi"))
+    order = Window.partitionBy(*key).orderBy("at", "side")
+    line = line.withColumn("place", F.sum("side").over(order)).withColumn("place", F.when(F.col("side") == 1, F.col("place") - 1).otherwise(F.col("place")))
+    placed = line.filter("side = 1").select(*key, "at", "place")
+    known = line.filter("side = 0").select(*key, "at", "place")
+    first, last = (known.select(*key, F.col("at").alias(a), F.col("place").alias(b)) for a, b in (("low", "first"), ("high", "last")))
+    ranges = own.join(first, [*key, "low"], "left").join(last, [*key, "high"], "left")
+    ends = placed.groupBy(*key).agg(F.max("place").alias("top"))
+    ranges = ranges.join(ends, key).select(
+        *key, "introduced", "fixed", "cve", F.coalesce("first", F.lit(0)).alias("first"),
+        F.coalesce(F.col("last") - 1, F.col("top")).alias("last"), F.sqrt(F.col("top") + 1).cast("long").alias("width"),
+    ).filter("first <= last")
+    # Blocks of about the root of the number of versions: a range covers few, and a version lies in one.
+    block = F.floor(F.col("place") / F.col("width"))
+    placed = placed.join(ends, key).withColumn("width", F.sqrt(F.col("top") + 1).cast("long")).withColumn("block", block)
+    covered = ranges.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / F.col("width")), F.floor(F.col("last") / F.col("width")))))
+    hits = placed.select(*key, "at", "place", "block").join(covered.drop("width"), [*key, "block"]).filter("place BETWEEN first AND last")
+    hits = hits.select(*key, F.col("at").alias("_version"), "introduced", "fixed", "cve")
+    return rows.join(hits, [*key, "_version"]).drop("_version")
+
+
 def _severity_weight() -> Column:
     out = F.lit(1)
     for severity, weight in sec_rules.SEVERITY_WEIGHTS.items():

@@ -8,6 +8,7 @@ from gitstrata.functions.common import joined
 from gitstrata.operators import deps
 from gitstrata.operators import models
 from gitstrata.operators import scan as ops
+from gitstrata.plans.deps_plans import DEPS
 from gitstrata.plans.registry import query
 from gitstrata.rules import patterns as pr
 from gitstrata.rules import security as sr
@@ -298,12 +299,35 @@ def _(t):
     return ops.vulnerable_dependencies(rows).select("id", "package", "version", "cve")
 
 
-@query("vulnerable_manifests")
+KEY = "list_transform(string_split(regexp_extract({}, '([0-9]+([.][0-9]+)*)', 1), '.'), lambda x: CAST(x AS BIGINT))"
+
+
+@query("vulnerable_manifests", DEPS + f""", a(ecosystem, package, below, cve) AS (VALUES {", ".join("(" + ", ".join(lit(x) for x in row) + ")" for row in sr.ADVISORIES)})
+SELECT repository_id, path, package, version, cve FROM d JOIN a USING (ecosystem, package) JOIN (SELECT path, CAST(regexp_extract(path, '^m([0-9]+)/', 1) AS BIGINT) AS p_partkey FROM f_manifests) USING (p_partkey)
+WHERE CASE WHEN regexp_matches(version, '[0-9]') THEN {KEY.format("version")} < {KEY.format("below")} END""", "f_manifests")
 def _(t):
     found = deps.all_dependencies(t.f_manifests)
     return ops.vulnerable_dependencies(found).select("repository_id", "path", "package", "version", "cve")
 
 
+RANGED = """
+d AS (SELECT CASE l_partkey % 2 WHEN 0 THEN 'python' ELSE 'javascript' END AS ecosystem, 'pkg' || CAST(l_partkey % 50 AS VARCHAR(20)) AS package,
+  CASE WHEN l_partkey % 11 = 0 THEN 'latest' ELSE '^' || CAST(l_linenumber AS VARCHAR(20)) || '.' || CAST(l_partkey % 7 AS VARCHAR(20)) || '.' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR(20)) END AS version FROM {lineitem}),
+v AS (SELECT CASE s_suppkey % 2 WHEN 0 THEN 'python' ELSE 'javascript' END AS ecosystem, 'pkg' || CAST(s_suppkey % 50 AS VARCHAR(20)) AS package, 'CVE-' || CAST(s_suppkey AS VARCHAR(20)) AS cve,
+  CASE WHEN s_suppkey % 5 > 0 THEN CAST(s_nationkey % 7 AS VARCHAR(20)) || '.' || CAST(s_suppkey % 7 AS VARCHAR(20)) END AS introduced,
+  CASE WHEN s_suppkey % 9 > 0 THEN CAST(s_nationkey % 7 + s_suppkey % 2 AS VARCHAR(20)) || '.3.' || CAST(s_nationkey AS VARCHAR(20)) END AS fixed FROM {supplier})
+"""
+
+
+@query("vulnerable_ranges", f"""WITH {RANGED.format(lineitem="lineitem", supplier="supplier")}
+SELECT ecosystem, package, version, cve, count(*) AS uses FROM d JOIN v USING (ecosystem, package) WHERE version <> 'latest'
+AND (introduced IS NULL OR {KEY.format("version")} >= {KEY.format("introduced")}) AND (fixed IS NULL OR {KEY.format("version")} < {KEY.format("fixed")}) GROUP BY 1, 2, 3, 4""")
+def _(t):
+    """Uses of each version inside an advisory's range, many advisories per package."""
+    rows = {c: t.spark.sql(f"WITH {RANGED.format(lineitem='{lineitem}', supplier='{supplier}')} SELECT * FROM {c}", lineitem=t.lineitem, supplier=t.supplier) for c in "dv"}
+    return ops.vulnerable_ranges(rows["d"], rows["v"]).groupBy("ecosystem", "package", "version", "cve").agg(F.count("*").alias("uses"))
+
+
 @query("user_rules", """
 SELECT path, CAST(1 + length(b) - length(replace(b, chr(10), '')) AS INTEGER) AS line_number, 'custom_pattern' AS name, 'intermediate' AS level, 0.85::DOUBLE AS confidence
 FROM (SELECT path, array_to_string(string_split(content, 'def ')[1:k], 'def ') AS b FROM (SELECT path, content, unnest(generate_series(1, len(string_split(content, 'def ')) - 1)) AS k FROM f_code))""", "f_code")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from gitstrata.operators import scan
 from gitstrata.operators import structure as ops
-from gitstrata.plans.registry import query
+from gitstrata.plans.registry import ORACLE, query
+from gitstrata.plans.scan_plans import as_architecture
 from gitstrata.rules import architecture as rules
+from gitstrata.session import written
 
 DIR = "coalesce(nullif(regexp_extract(path, '^(.*)/[^/]*$', 1), ''), 'root')"
 TOP = "CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE 'root' END"
@@ -115,9 +117,19 @@ def _(t):
     return ops.layer_summary(t.f_code)
 
 
-@query("architecture_recommendations")
+@query("architecture_recommendations", f"""
+WITH style AS ({ORACLE["architecture_style"]}), ev AS ({ORACLE["design_evidence"]}), lay AS ({ORACLE["layer_summary"]}), q AS ({ORACLE["architecture_quality"]}),
+ {COHESION.replace("h AS (", "bare AS (").replace("least(1.0, avg(1.0 / k)) AS cohesion", "avg(1.0 / k) AS base")}, bonus AS (SELECT repository_id, count(DISTINCT pattern) * 0.1 AS bonus FROM ev GROUP BY 1),
+ h AS (SELECT repository_id, least(1.0, base + coalesce(bonus, 0.0)) AS cohesion FROM bare LEFT JOIN bonus USING (repository_id)),
+ e AS (SELECT style.repository_id, style.style, q.modularity, q.coupling, h.cohesion, q.complexity, lay.is_layered, {", ".join(f"EXISTS (SELECT 1 FROM ev WHERE ev.repository_id = style.repository_id AND pattern = '{p}') AS {p}" for p in ("singleton", "repository", "dependency_injection"))}
+  FROM style JOIN q USING (repository_id) JOIN h USING (repository_id) JOIN lay USING (repository_id))
+SELECT repository_id, array_to_string(list_filter([CASE WHEN modularity < 0.6 THEN 'improve modularity' END, CASE WHEN coupling > 0.7 THEN 'reduce coupling' END, CASE WHEN cohesion < 0.5 THEN 'improve cohesion' END,
+ CASE WHEN complexity > 0.7 THEN 'simplify the structure' END, CASE WHEN NOT singleton AND style <> 'microservices' THEN 'consider singleton' END, CASE WHEN NOT repository THEN 'consider repository' END,
+ CASE WHEN NOT dependency_injection THEN 'consider dependency injection' END, CASE WHEN style = 'monolithic' THEN 'split the monolith into modules' END, CASE WHEN style = 'microservices' THEN 'check service boundaries' END,
+ CASE WHEN NOT is_layered THEN 'consider layers' END], lambda x: x IS NOT NULL)[1:5], '|') AS recommendations FROM e""", "f_code f_manifests")
 def _(t):
-    files = t.f_code.select("repository_id", "path", "content", "language")
-    patterns = scan.design_evidence(files)
-    out = ops.architecture_recommendations(ops.architecture_style(files), ops.architecture_quality(files, patterns), patterns, ops.layer_summary(files))
+    files = as_architecture(t).select("repository_id", "path", "content", "language")
+    # The evidence is asked for three times and costs a pass over the texts: it is written once, a few rows per file.
+    patterns = written(scan.design_evidence(files).select("repository_id", "path", "pattern"), "evidence")
+    out = ops.architecture_recommendations(ops.architecture_style(paths(t)), ops.architecture_quality(files, patterns), patterns, ops.layer_summary(files.select("repository_id", "path")))
     return out.select("repository_id", F.array_join("recommendations", "|").alias("recommendations"))
