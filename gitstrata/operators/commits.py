@@ -39,13 +39,15 @@ def commit_rollup(file_changes: DataFrame, commits: DataFrame | None = None) ->
     """Per commit: lines, files, refactoring share, breaking flag, impact and risk.
 
     ``complexity_change`` is an optional column of the changes (0 when absent).
-    With ``commits`` the message's own breaking mark counts too.
+    With ``commits`` the message's own breaking mark counts too. A commit is known by its hash and, where the
+    changes have ``repository_id``, by that as well: forks hold the same hash.
     """
+    key = [c for c in ("repository_id", "hash") if c in file_changes.columns]
     change = F.col("complexity_change") if "complexity_change" in file_changes.columns else F.lit(0)
     additions, deletions = F.col("additions"), F.col("deletions")
     per_commit = (
         drop_skipped(file_changes)
-        .groupBy("hash")
+        .groupBy(*key)
         .agg(
             F.sum("additions").alias("additions"),
             F.sum("deletions").alias("deletions"),
@@ -56,9 +58,9 @@ def commit_rollup(file_changes: DataFrame, commits: DataFrame | None = None) ->
         )
     )
     if commits is not None:
-        marks = commits.groupBy("hash").agg(F.max(ct.breaking_message(F.col("message"))).alias("_mark"))
+        marks = commits.groupBy(*key).agg(F.max(ct.breaking_message(F.col("message"))).alias("_mark"))
         per_commit = (
-            per_commit.join(marks, "hash", "left")
+            per_commit.join(marks, key, "left")
             .withColumn("is_breaking", F.col("is_breaking") | F.coalesce("_mark", F.lit(False)))
             .drop("_mark")
         )

@@ -15,23 +15,25 @@ TASK = ["task_id"]
 KEY = ["task_id", "key"]
 
 
-def _most_frequent(votes: DataFrame) -> DataFrame:
-    """Most frequent text per key; equal counts are settled by the value."""
-    counts = votes.filter(F.col("str_value").isNotNull()).groupBy(*KEY, "str_value").agg(F.count("*").alias("n"))
-    return counts.groupBy(*KEY).agg(F.min_by("str_value", F.struct(-F.col("n"), "str_value")).alias("str_value"))
-
-
-def _numeric(votes: DataFrame, value: Column) -> DataFrame:
-    return votes.filter(F.col("num_value").isNotNull()).groupBy(*KEY).agg(value.alias("num_value"))
-
+def _confidence(votes: DataFrame, *more: Column) -> DataFrame:
+    """One row per model and task: a model's confidence counts once, not once per key."""
+    return votes.groupBy("task_id", "model_id").agg(F.max("confidence").alias("confidence"), *more)
 
-def _combine(numbers: DataFrame, texts: DataFrame, confidence: DataFrame) -> DataFrame:
-    return numbers.join(texts, KEY, "full").join(confidence, TASK)
 
+def _by_value(votes: DataFrame, value: Column) -> DataFrame:
+    """Number and text per key in two aggregates of one pass: votes for equal texts first, then the key.
 
-def _per_model(votes: DataFrame) -> DataFrame:
-    """One row per model and task: a model's confidence counts once, not once per key."""
-    return votes.groupBy("task_id", "model_id").agg(F.max("confidence").alias("confidence"))
+    ``value`` is worked out from the sums of the first aggregate: ``wv`` (number x weight), ``w``, ``v``, ``n`` and the
+    number of the first model by name, ``first``.
+    """
+    number = F.col("num_value").isNotNull()
+    weight = F.when(number, F.col("confidence"))
+    equal = votes.groupBy(*KEY, "str_value").agg(
+        F.sum(F.col("num_value") * F.col("confidence")).alias("wv"), F.sum(weight).alias("w"), F.sum("num_value").alias("v"),
+        F.count("num_value").alias("n"), F.min(F.when(number, F.struct("model_id", "num_value"))).alias("first"), F.count("str_value").alias("votes"),
+    )
+    chosen = F.min(F.when(F.col("str_value").isNotNull(), F.struct((-F.col("votes")).alias("votes"), "str_value")))
+    return equal.groupBy(*KEY).agg(value.alias("num_value"), chosen["str_value"].alias("str_value"))
 
 
 def consensus(votes: DataFrame, method: str, weights: DataFrame | None = None) -> DataFrame:
@@ -43,37 +45,29 @@ def consensus(votes: DataFrame, method: str, weights: DataFrame | None = None) -
     ``majority``: plain mean, most frequent text. ``best``: the whole result of
     the most confident model.
     """
-    if method == "confidence":
-        weighted = F.try_divide(F.sum(F.col("num_value") * F.col("confidence")), F.sum("confidence"))
-        # all confidences zero: the first model's value stands
-        value = F.coalesce(weighted, F.min_by("num_value", "model_id"))
-        mean = _per_model(votes).groupBy(*TASK).agg(F.avg("confidence").alias("confidence"))
-        return _combine(_numeric(votes, value), _most_frequent(votes), mean)
-    if method == "majority":
-        mean = _per_model(votes).groupBy(*TASK).agg(F.avg("confidence").alias("confidence"))
-        return _combine(_numeric(votes, F.avg("num_value")), _most_frequent(votes), mean)
+    if method in ("confidence", "majority"):
+        if method == "majority":
+            value = F.try_divide(F.sum("v"), F.sum("n"))
+        else:
+            # all confidences zero: the first model's value stands
+            value = F.coalesce(F.try_divide(F.sum("wv"), F.sum("w")), F.min("first")["num_value"])
+        mean = _confidence(votes).groupBy(*TASK).agg(F.avg("confidence").alias("confidence"))
+        return _by_value(votes, value).filter("num_value IS NOT NULL OR str_value IS NOT NULL").join(mean, TASK)
     if method == "weighted":
         if weights is None:
             weighed = votes.withColumn("weight", F.lit(1.0))
         else:
             weighed = votes.join(weights, "model_id", "left").fillna({"weight": 1.0})
-        models = weighed.groupBy("task_id", "model_id").agg(
-            F.max("confidence").alias("confidence"), F.max("weight").alias("weight")
-        )
-        per_task = models.groupBy(*TASK).agg(
+        per_task = _confidence(weighed, F.max("weight").alias("weight")).groupBy(*TASK).agg(
             F.sum("weight").alias("total_weight"),
             (F.sum(F.col("confidence") * F.col("weight")) / F.sum("weight")).alias("confidence"),
         )
-        numbers = _numeric(weighed, F.sum(F.col("num_value") * F.col("weight")))
-        texts = (
-            weighed.filter(F.col("str_value").isNotNull())
-            .groupBy(*KEY)
-            .agg(F.min_by("str_value", F.struct(-F.col("weight"), "model_id", "str_value")).alias("str_value"))
-        )
-        out = _combine(numbers, texts, per_task)
+        heaviest = F.min(F.when(F.col("str_value").isNotNull(), F.struct((-F.col("weight")).alias("w"), "model_id", "str_value")))
+        keyed = weighed.groupBy(*KEY).agg(F.sum(F.col("num_value") * F.col("weight")).alias("num_value"), heaviest["str_value"].alias("str_value"))
+        out = keyed.filter("num_value IS NOT NULL OR str_value IS NOT NULL").join(per_task, TASK)
         return out.withColumn("num_value", F.col("num_value") / F.col("total_weight")).drop("total_weight")
     if method == "best":
-        best = _per_model(votes).groupBy(*TASK).agg(
+        best = _confidence(votes).groupBy(*TASK).agg(
             F.min_by("model_id", F.struct(-F.col("confidence"), "model_id")).alias("model_id"), F.max("confidence").alias("best")
         )
         chosen = votes.join(best, ["task_id", "model_id"])

@@ -58,20 +58,40 @@ def metric_summary(metrics: DataFrame, log: DataFrame, minutes: int = 30, as_of:
     return trend.join(ops, "name", "left").fillna({"operations": 0, "errors": 0}).withColumn("average", F.round("average", 2))
 
 
-def moving_average(metrics: DataFrame, minutes: int = 5) -> DataFrame:
-    """Mean of the preceding minutes at every point of every metric.
+def moving_average(metrics: DataFrame, minutes: int = 5, cells: int = 32) -> DataFrame:
+    """Mean of the preceding minutes at every point of every metric, with work in proportion to the points.
 
-    A window over a whole metric would put a hot metric into one task. Points are
-    cut into buckets as long as the window, and each bucket also sees a copy of
-    the one before, which is all that the range can reach.
+    The sum over a window is a difference of running sums: up to the point, less up to just before the window. Time is cut into cells of
+    a ``cells``-th of the window. Inside a cell sums run on; between the two ends lie whole cells, at most ``cells + 1``. So no
+    frame is worked out anew per point, no sum covers more than a window, and a task sorts one cell of one metric.
     """
     micros = minutes * 60 * 1_000_000
+    step = -(-micros // cells)
+    reach = (micros + 1) // step
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    bucket = F.floor(at / F.lit(micros))
-    points = metrics.withColumn("_at", at).withColumn("_bucket", bucket)
-    twice = points.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_bucket", F.col("_bucket") + F.col("_copy"))
-    window = Window.partitionBy("name", "_bucket").orderBy("_at").rangeBetween(-micros, 0)
-    return twice.withColumn("moving_average", F.avg("value").over(window)).filter("_copy = 0").drop("_copy", "_at", "_bucket")
+    cell = lambda t: F.floor(t / F.lit(step)).cast("long")
+    sums = metrics.groupBy("name", at.alias("at")).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("s"), F.count("value").alias("c")).filter("at IS NOT NULL")
+    before = F.col("at") - micros - 1
+    points = sums.select("name", "at", F.col("at").alias("t"), "s", "c", F.lit(1).alias("sign"))
+    probes = sums.select("name", "at", before.alias("t"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("c"), F.lit(-1).alias("sign"))
+    inside = Window.partitionBy("name", "cell").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    running = points.unionByName(probes).withColumn("cell", cell(F.col("t")))
+    running = running.withColumns({"s": F.sum("s").over(inside), "c": F.sum("c").over(inside)})
+    # Whole cells: those before each cell, as far as a window reaches; a stretch of 4096 cells also sees the end of the one before.
+    whole = sums.groupBy("name", cell(F.col("at")).alias("cell")).agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    stretch, ahead = F.floor(F.col("cell") / 4096).cast("long"), F.floor((F.col("cell") + reach + 1) / 4096).cast("long")
+    copies = whole.withColumn("own", stretch).withColumn("stretch", F.explode(F.array_distinct(F.array(stretch, ahead))))
+    frames = {n: Window.partitionBy("name", "stretch").orderBy("cell").rangeBetween(-n, -1) for n in (reach, reach + 1)}
+    near = copies.withColumns({f"{x}{n - reach}": F.sum(x).over(w) for n, w in frames.items() for x in "sc"}).filter("own = stretch")
+    near = near.select(F.col("name").alias("n"), F.col("cell").alias("k"), "s0", "s1", "c0", "c1")
+    far = cell(F.col("at")) - cell(before) > reach
+    between = {x: F.when(F.col("sign") == 1, F.coalesce(F.when(far, F.col(f"{x}1")).otherwise(F.col(f"{x}0")), F.lit(0))).otherwise(0) for x in "sc"}
+    # A probe's cell lies in the frame as a whole; its running sum goes off again.
+    ends = running.join(near, running["name"].eqNullSafe(near["n"]) & (F.col("cell") == F.col("k")) & (F.col("sign") == 1), "left")
+    ends = ends.select("name", "at", *[((F.col(x) * F.col("sign")) + between[x]).alias(x) for x in "sc"])
+    means = ends.groupBy("name", "at").agg(F.try_divide(F.sum("s"), F.sum("c")).alias("moving_average")).select(F.col("name").alias("_name"), F.col("at").alias("_at"), "moving_average")
+    marked = metrics.withColumn("_point", at)
+    return marked.join(means, F.col("name").eqNullSafe(F.col("_name")) & (F.col("_point") == F.col("_at")), "left").drop("_name", "_at", "_point")
 
 
 def status_changes(metrics: DataFrame, bucket_minutes: int = 60) -> DataFrame:
@@ -120,26 +140,28 @@ def expiring(keys: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     )
 
 
-def similar(vectors: DataFrame, query: list[float], k: int = 5, metric: str = "cosine") -> DataFrame:
+def similar(vectors: DataFrame, query: list[float] | Column, k: int = 5, metric: str = "cosine") -> DataFrame:
     """The ``k`` stored vectors nearest to one query vector, similarity first.
 
-    The query is a parameter and becomes a literal; every partition keeps its own
-    best ``k``, so only those travel.
+    The query is a list or a scalar subquery (``df.select("embedding").scalar()``), worked out with the search and not before;
+    every partition keeps its own best ``k``, so only those travel.
     """
-    q = F.array(*[F.lit(float(x)) for x in query])
+    asked = query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])
+    vectors = vectors.withColumn("_query", asked)
+    q = F.transform("_query", lambda x: x.cast("double"))
     v = F.transform("embedding", lambda x: x.cast("double"))
     zero = F.lit(0.0)
     add = lambda total, x: total + x
     if metric == "cosine":
         dot = F.aggregate(F.zip_with(v, q, lambda a, b: a * b), zero, add)
         norm = F.sqrt(F.aggregate(F.transform(v, lambda a: a * a), zero, add))
-        length = float(sum(float(x) * float(x) for x in query)) ** 0.5
-        score = F.try_divide(dot, norm * F.lit(length))
+        length = F.sqrt(F.aggregate(F.transform(q, lambda a: a * a), zero, add))
+        score = F.try_divide(dot, norm * length)
     elif metric == "l2sq":
         score = F.lit(1.0) - F.aggregate(F.zip_with(v, q, lambda a, b: (a - b) * (a - b)), zero, add)
     else:
         raise ValueError(f"unknown metric {metric!r}")
-    return vectors.withColumn("similarity", score).orderBy(F.desc("similarity"), "vec_id").limit(k)
+    return vectors.withColumn("similarity", score).drop("_query").orderBy(F.desc("similarity"), "vec_id").limit(k)
 
 
 def validate(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]]) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gitstrata.functions.paths import with_language
+from gitstrata.session import written
 from gitstrata.sources.stores import natural_key
 
 FILE = ["repository_id", "path"]
@@ -123,6 +124,51 @@ def compared_items(pairs: DataFrame, sets: DataFrame, value: str = "name") -> Da
     return sides.select("repo_a", "repo_b", "item", where.alias("found_in"))
 
 
+def related_repositories(items: DataFrame, threshold: float, value: str = "name", weight: str = "weight") -> tuple[DataFrame, DataFrame]:
+    """Pairs of repositories whose weighted items are alike, without a list of pairs; and the class of each repository.
+
+    Alike means weighted Jaccard (sum of the smaller weights over sum of the larger ones) of at least ``threshold``.
+    Repositories with equal items and weights form a class, named by its least id; pairs are of classes, so copies are not paired.
+
+    A pair shares at least ``threshold`` times the larger of its total weights. So with items in one order, rarest first, both
+    have a common item before their rest weighs less than that: only these prefixes are joined, as an inverted
+    index. Totals that differ by more than the threshold, and pairs whose places in the index leave too little, are dropped before
+    the exact sums. Weights must be positive; rows with a NULL, or a weight of 0 or less, do not count.
+    """
+    rows = items.select("repository_id", F.col(value).alias("v"), F.col(weight).cast("double").alias("w"))
+    rows = rows.filter("repository_id IS NOT NULL AND v IS NOT NULL AND w > 0").groupBy("repository_id", "v").agg(F.sum("w").alias("w"))
+    # The profile's digest is a sum over its items, so it is made on the map side; two sums of 64-bit hashes tell profiles apart.
+    digest = [F.sum(F.xxhash64("v", "w", F.lit(i)).cast("decimal(38,0)")).alias(f"d{i}") for i in (1, 2)]
+    profiles = rows.groupBy("repository_id").agg(*digest, F.count("*").alias("n"))
+    least = profiles.groupBy("d1", "d2", "n").agg(F.min("repository_id").alias("class_id"))
+    classes = written(profiles.join(least, ["d1", "d2", "n"]).select("repository_id", "class_id"), "classes")
+    mine = rows.join(classes.filter("repository_id = class_id").select("repository_id"), "repository_id", "left_semi")
+    rarity = mine.groupBy("v").agg(F.count("*").alias("holders"))
+    ranked = mine.join(rarity.filter("holders > 1"), "v", "left")
+    totals = mine.groupBy("repository_id").agg(F.sum("w").alias("total"))
+    ranked = written(ranked.join(totals, "repository_id").select("repository_id", "v", "w", "total", F.coalesce("holders", F.lit(1)).alias("holders")), "weighted")
+    order = Window.partitionBy("repository_id").orderBy("holders", "v")
+    from_here = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
+    # Items of one holder can be shared by nobody, but their weight counts for the prefix.
+    prefix = ranked.withColumn("rest", from_here).filter((F.col("rest") >= F.col("total") * threshold * (1 - 1e-9)) & (F.col("holders") > 1))
+    a = prefix.select("v", F.col("repository_id").alias("repo_a"), F.col("total").alias("total_a"), F.col("w").alias("wa"), F.col("rest").alias("rest_a"))
+    b = prefix.select("v", F.col("repository_id").alias("repo_b"), F.col("total").alias("total_b"), F.col("w").alias("wb"), F.col("rest").alias("rest_b"))
+    smaller, larger = F.least("total_a", "total_b"), F.greatest("total_a", "total_b")
+    sized = a.join(b, "v").filter("repo_a < repo_b").filter(smaller >= larger * threshold * (1 - 1e-9))
+    # At the first common item of a pair nothing before it is shared: what is left bounds the shared weight.
+    first = sized.groupBy("repo_a", "repo_b").agg(
+        F.max(F.least("rest_a", "rest_b")).alias("left"), F.first("total_a").alias("total_a"), F.first("total_b").alias("total_b")
+    )
+    # Shared weight s gives s / (a + b - s).
+    need = (F.col("total_a") + F.col("total_b")) * (threshold / (1 + threshold)) * (1 - 1e-9)
+    likely = written(first.filter(F.col("left") >= need).select("repo_a", "repo_b", "total_a", "total_b"), "likely-pairs")
+    side_a = likely.select("repo_a", "repo_b").join(ranked.filter("holders > 1").select(F.col("repository_id").alias("repo_a"), "v", F.col("w").alias("wa")), "repo_a")
+    shared = side_a.join(ranked.select(F.col("repository_id").alias("repo_b"), "v", F.col("w").alias("wb")), ["repo_b", "v"])
+    shared = shared.groupBy("repo_a", "repo_b").agg(F.sum(F.least("wa", "wb")).alias("shared"))
+    pairs = likely.join(shared, ["repo_a", "repo_b"]).withColumn("similarity", F.col("shared") / (F.col("total_a") + F.col("total_b") - F.col("shared")))
+    return pairs.filter(F.col("similarity") >= threshold).select("repo_a", "repo_b", "similarity"), classes
+
+
 def track_access(associations: DataFrame, events: DataFrame) -> DataFrame:
     """Associations after access events: first and last access, latest access type.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gitstrata.functions import commit_text as ct
@@ -70,6 +73,34 @@ def _(t):
     return stores.page(t.f_commits.select("hash", "committed_date"), [F.desc("committed_date"), "hash"], 50, 100)
 
 
+@query("deep_page", """
+SELECT hash, committed_date, CAST(row_number() OVER (ORDER BY committed_date DESC, hash) - 1 AS BIGINT) AS position, (SELECT count(*) FROM f_commits) AS total, 10050 < (SELECT count(*) FROM f_commits) AS has_more
+FROM f_commits ORDER BY committed_date DESC, hash LIMIT 50 OFFSET 10000""", "f_commits")
+def _(t):
+    path = shared_folder(t.spark, "pages")
+    stores.write_ranked(t.f_commits.select("hash", "committed_date"), [F.desc("committed_date"), "hash"], path)
+    return stores.ranked_page(t.spark, path, 50, 10_000)
+
+
+@query("next_page", """
+SELECT hash, committed_date FROM f_commits WHERE committed_date < TIMESTAMP '1995-06-01' OR (committed_date = TIMESTAMP '1995-06-01' AND hash > '5') ORDER BY committed_date DESC, hash LIMIT 50""", "f_commits")
+def _(t):
+    rows, last = t.f_commits.select("hash", "committed_date"), {"committed_date": F.lit("1995-06-01").cast("timestamp_ntz"), "hash": F.lit("5")}
+    return stores.page_after(rows, {"committed_date": "desc", "hash": "asc"}, last, 50)
+
+
+ROLLUP_BY_REPOSITORY = """
+WITH f AS (SELECT CAST(l_suppkey % 40 AS VARCHAR(20)) AS repository_id, CAST(l_orderkey AS VARCHAR(20)) AS hash, CASE WHEN l_suppkey % 9 = 0 THEN 'api/' ELSE 'src/' END || 'f.py' AS file_path, CAST(l_quantity AS BIGINT) AS additions, CAST(round(l_tax * 1000) AS BIGINT) AS deletions FROM {lineitem})"""
+
+
+@query("commit_rollup_by_repository", ROLLUP_BY_REPOSITORY.format(lineitem="lineitem") + """
+SELECT repository_id, hash, CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions, count(*) AS files, bool_or(starts_with(file_path, 'api/')) AS is_breaking FROM f GROUP BY 1, 2""")
+def _(t):
+    """One hash in several repositories (forks): every repository has its own figures."""
+    changes = t.spark.sql(ROLLUP_BY_REPOSITORY + " SELECT * FROM f", lineitem=t.lineitem)
+    return ops.commit_rollup(changes).select("repository_id", "hash", "additions", "deletions", "files", "is_breaking")
+
+
 @query("by_repository", "SELECT repository_id, hash, message FROM f_commits WHERE repository_id = '7'", "f_commits")
 def _(t):
     return stores.by_repository(t.f_commits, "7").select("repository_id", "hash", "message")
@@ -131,14 +162,21 @@ def _(t):
     return log.groupBy("model_id").agg(F.count("*").alias("runs"), F.sum("candidates").alias("candidates"))
 
 
+# Every table and its key.
+COPIED = {
+    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey",
+    "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id",
+    "labels": "doc_id", "conversations": "conv_id",
+}
+
+
 @query("copy_tables", """
-SELECT 'customer' AS table_name, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS key_sum FROM customer UNION ALL SELECT 'orders', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders""")
+""" + " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*) AS n, CAST(sum({key}) AS BIGINT) AS key_sum FROM {name}" for name, key in COPIED.items()))
 def _(t):
     root = shared_folder(t.spark, "copy")
-    names = {"customer": "c_custkey", "orders": "o_orderkey"}
-    stores.copy_tables(lambda n: getattr(t, n), lambda n, df: df.write.parquet(f"{root}/{n}"), list(names))
-    parts = [t.spark.read.parquet(f"{root}/{n}").agg(F.lit(n).alias("table_name"), F.count("*").alias("n"), F.sum(k).alias("key_sum")) for n, k in names.items()]
-    return parts[0].unionByName(parts[1])
+    stores.copy_tables(lambda n: t.spark.read.parquet(t.path(n)), lambda n, df: df.write.parquet(f"{root}/{n}"), list(COPIED))
+    parts = [t.spark.read.parquet(f"{root}/{n}").agg(F.lit(n).alias("table_name"), F.count("*").alias("n"), F.sum(F.col(k).cast("long")).alias("key_sum")) for n, k in COPIED.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("drop_expired", "SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 12 DAY")

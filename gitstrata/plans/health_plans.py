@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gitstrata.operators import health as ops
+from gitstrata.operators import vectors
 from gitstrata.plans.registry import query
 
 H, L = "f_health_metrics", "f_request_log"
@@ -93,7 +94,7 @@ def _(t):
 
 
 def first_vector(t):
-    return [float(x) for x in t.embeddings.filter("vec_id = 0").head()["embedding"]]
+    return t.embeddings.filter("vec_id = 0").select("embedding").scalar()
 
 
 DOT = "list_sum(list_transform(generate_series(1, 64), lambda i: e.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE))"
@@ -113,6 +114,17 @@ def _(t):
     return ops.similar(t.embeddings, first_vector(t), metric="l2sq").select("vec_id", F.round("similarity", 9).alias("similarity"))
 
 
+@query("similar_many", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+ n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS len FROM v),
+ s AS (SELECT q.vec_id AS query, n.vec_id AS id, round(list_dot_product(q.e, n.e) / (q.len * n.len), 12) AS c FROM n q JOIN n ON q.vec_id % 100 = 0 AND q.vec_id <> n.vec_id)
+SELECT query, id, round(c, 9) AS similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY c DESC, id) AS INTEGER) AS position FROM s QUALIFY position <= 5""")
+def _(t):
+    """Every hundredth vector against all."""
+    out = vectors.similar_many(t.embeddings, t.embeddings.filter("vec_id % 100 = 0"))
+    return out.select("query", "id", F.round("similarity", 9).alias("similarity"), "position")
+
+
 @query("validate_ranges", """
 SELECT event_id, CASE WHEN value > 100 THEN 'value' ELSE '' END || CASE WHEN value > 100 AND user_id < 20 THEN '|' ELSE '' END || CASE WHEN user_id < 20 THEN 'user_id' ELSE '' END AS violations, NOT (value > 100 OR user_id < 20) AS is_valid FROM events""")
 def _(t):

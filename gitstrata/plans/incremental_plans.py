@@ -101,6 +101,43 @@ def _(t):
     return inc.compared_items(pairs(t), t.f_technologies)
 
 
+def related_sql(rows: str, threshold: float) -> str:
+    return f"""
+WITH r AS ({rows}), f AS (SELECT repository_id, string_agg(name || ':' || weight, ',' ORDER BY name) AS profile, sum(weight) AS total FROM r GROUP BY 1),
+ c AS (SELECT repository_id, total, min(repository_id) OVER (PARTITION BY profile) AS class_id FROM f), m AS (SELECT * FROM c WHERE repository_id = class_id),
+ s AS (SELECT a.repository_id AS repo_a, b.repository_id AS repo_b, sum(least(a.weight, b.weight)) AS shared FROM r a JOIN r b ON a.name = b.name AND a.repository_id < b.repository_id
+  WHERE a.repository_id IN (SELECT class_id FROM m) AND b.repository_id IN (SELECT class_id FROM m) GROUP BY 1, 2),
+ p AS (SELECT repo_a, repo_b, shared / (a.total + b.total - shared) AS similarity FROM s JOIN m a ON a.repository_id = repo_a JOIN m b ON b.repository_id = repo_b)
+"""
+
+
+BASKETS = "SELECT CAST(l_orderkey AS VARCHAR(20)) AS repository_id, CAST(l_partkey AS VARCHAR(20)) AS name, CAST(sum(l_quantity) AS BIGINT) AS weight FROM {lineitem} GROUP BY 1, 2"
+TRAITS = """SELECT CAST(c_custkey AS VARCHAR(20)) AS repository_id, c_mktsegment AS name, CAST(2 AS BIGINT) AS weight FROM {customer}
+ UNION ALL SELECT CAST(c_custkey AS VARCHAR(20)), 'nation' || CAST(c_nationkey AS VARCHAR(20)), CAST(1 AS BIGINT) FROM {customer}"""
+COUNTS = "SELECT repository_id, pattern_id AS name, count(*) AS weight FROM f_name_occurrences GROUP BY 1, 2"
+
+
+@query("related_repositories", related_sql(BASKETS.format(lineitem="lineitem"), 0.3) + "SELECT repo_a, repo_b, round(similarity, 9) AS similarity FROM p WHERE similarity >= 0.3")
+def _(t):
+    pairs, _ = inc.related_repositories(t.spark.sql(BASKETS, lineitem=t.lineitem), 0.3)
+    return pairs.withColumn("similarity", F.round("similarity", 9))
+
+
+@query("related_by_patterns", related_sql(COUNTS, 0.5) + "SELECT repo_a, repo_b, round(similarity, 9) AS similarity FROM p WHERE similarity >= 0.5", "f_name_occurrences")
+def _(t):
+    items = t.f_name_occurrences.groupBy("repository_id", F.col("pattern_id").alias("name")).agg(F.count("*").alias("weight"))
+    return inc.related_repositories(items, 0.5)[0].withColumn("similarity", F.round("similarity", 9))
+
+
+@query("repository_classes", related_sql(TRAITS.format(customer="customer"), 0.4) + """, l AS (SELECT repo_a AS class_id FROM p WHERE similarity >= 0.4 UNION ALL SELECT repo_b FROM p WHERE similarity >= 0.4)
+SELECT repository_id, class_id, (SELECT count(*) FROM l WHERE l.class_id = c.class_id) AS links FROM c""")
+def _(t):
+    """Hot items: every repository has one of five names in common with a fifth of the others."""
+    pairs, classes = inc.related_repositories(t.spark.sql(TRAITS, customer=t.customer), 0.4)
+    ends = pairs.select(F.explode(F.array("repo_a", "repo_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    return classes.join(ends, "class_id", "left").select("repository_id", "class_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+
+
 ACCESS = """
 SELECT CAST(user_id AS VARCHAR(20)) AS user_id, CAST(event_id % 50 AS VARCHAR(20)) AS repository_id, CASE WHEN event_type = 'view' THEN 'viewer' ELSE 'owner' END AS access_type, ts AS created_at, ts AS last_accessed FROM {events}"""
 
@@ -134,12 +171,12 @@ REPOS = "f_repositories f_repo_tags f_user_repos"
 
 @query("repositories_with_stats", """
 SELECT r.repository_id, r.name, coalesce(c.n, 0) AS commits, coalesce(t.n, 0) AS technologies, coalesce(o.n, 0) AS occurrences, coalesce(s.status, 'not_analyzed') AS latest_status
-FROM f_repositories r LEFT JOIN (SELECT repository_id, count(*) AS n FROM f_commits WHERE repository_id <> '3' GROUP BY 1) c USING (repository_id) LEFT JOIN (SELECT repository_id, count(*) AS n FROM f_technologies GROUP BY 1) t USING (repository_id)
+FROM f_repositories r LEFT JOIN (SELECT repository_id, count(*) AS n FROM f_commits GROUP BY 1) c USING (repository_id) LEFT JOIN (SELECT repository_id, count(*) AS n FROM f_technologies GROUP BY 1) t USING (repository_id)
  LEFT JOIN (SELECT repository_id, count(*) AS n FROM f_occurrences GROUP BY 1) o USING (repository_id)
- LEFT JOIN (SELECT repository_id, status FROM f_analysis_sessions WHERE repository_id <> '5' QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY started_at DESC, session_id DESC) = 1) s USING (repository_id)""",
+ LEFT JOIN (SELECT repository_id, status FROM f_analysis_sessions QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY started_at DESC, session_id DESC) = 1) s USING (repository_id)""",
        "f_repositories f_commits f_technologies f_occurrences f_analysis_sessions")
 def _(t):
-    out = repo.repositories_with_stats(t.f_repositories, t.f_commits.filter("repository_id <> '3'"), t.f_technologies, t.f_occurrences, t.f_analysis_sessions.filter("repository_id <> '5'"))
+    out = repo.repositories_with_stats(t.f_repositories, t.f_commits, t.f_technologies, t.f_occurrences, t.f_analysis_sessions)
     return out.select("repository_id", "name", "commits", "technologies", "occurrences", "latest_status")
 
 

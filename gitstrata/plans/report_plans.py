@@ -144,13 +144,12 @@ def _(t):
     return out.select("repository_id", F.array_join("security", "|").alias("security"), F.array_join("architecture", "|").alias("architecture"))
 
 
-@query("enhanced_view", H + """, l AS (SELECT repository_id, analysis_type, score FROM f_analyses WHERE analysis_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY repository_id, analysis_type ORDER BY created_at DESC, analysis_id DESC) = 1)
-SELECT h.repository_id, coalesce((SELECT score FROM l WHERE l.repository_id = h.repository_id AND analysis_type = 'security'), CAST(security_score AS DOUBLE)) AS security_score, CAST(performance_score AS DOUBLE) AS performance_score,
+@query("enhanced_view", H + """, l AS (SELECT repository_id, analysis_type, score FROM f_analyses QUALIFY row_number() OVER (PARTITION BY repository_id, analysis_type ORDER BY created_at DESC, analysis_id DESC) = 1)
+SELECT h.repository_id, coalesce((SELECT score FROM l WHERE l.repository_id = h.repository_id AND analysis_type = 'security'), CAST(security_score AS DOUBLE)) AS security_score, coalesce((SELECT score FROM l WHERE l.repository_id = h.repository_id AND analysis_type = 'performance'), CAST(performance_score AS DOUBLE)) AS performance_score,
  coalesce((SELECT score FROM l WHERE l.repository_id = h.repository_id AND analysis_type = 'architectural'), CAST(architecture_score AS DOUBLE)) AS architecture_score,
- EXISTS (SELECT 1 FROM l WHERE l.repository_id = h.repository_id AND analysis_type = 'security') AS security_stored, false AS performance_stored, EXISTS (SELECT 1 FROM l WHERE l.repository_id = h.repository_id AND analysis_type = 'architectural') AS architectural_stored FROM hs h""", WIDE + " f_analyses")
+ EXISTS (SELECT 1 FROM l WHERE l.repository_id = h.repository_id AND analysis_type = 'security') AS security_stored, EXISTS (SELECT 1 FROM l WHERE l.repository_id = h.repository_id AND analysis_type = 'performance') AS performance_stored, EXISTS (SELECT 1 FROM l WHERE l.repository_id = h.repository_id AND analysis_type = 'architectural') AS architectural_stored FROM hs h""", WIDE + " f_analyses")
 def _(t):
-    stored = ops.latest_analyses(t.f_analyses.filter("analysis_id % 3 <> 0")).filter("analysis_type <> 'performance'")
-    return ops.enhanced_view(stored, ops.heuristic_scores(stats(t)))
+    return ops.enhanced_view(ops.latest_analyses(t.f_analyses), ops.heuristic_scores(stats(t)))
 
 
 @query("dashboard_scores", STATS + TL + """, b AS (SELECT repository_id, count(*) AS n, count(*) FILTER (is_antipattern) AS n_anti, count(*) FILTER (complexity_level = 'advanced') AS cx, count(*) FILTER (complexity_level = 'simple') AS pl FROM st GROUP BY 1),
@@ -241,11 +240,11 @@ def _(t):
 
 
 @query("pattern_browser", """
-WITH s AS (SELECT o.repository_id, o.pattern_id, p.name, p.category, count(*) AS occurrences, min(detected_at) AS first_seen FROM f_occurrences o JOIN f_patterns p USING (pattern_id) WHERE contains(name, 'c') GROUP BY ALL),
+WITH s AS (SELECT o.repository_id, o.pattern_id, p.name, p.category, count(*) AS occurrences, min(detected_at) AS first_seen FROM f_occurrences o JOIN f_patterns p USING (pattern_id) WHERE contains(lower(name), 'c') OR contains(lower(category), 'c') GROUP BY ALL),
  e AS (SELECT repository_id, pattern_id, string_agg(coalesce(file_path, '-'), '|' ORDER BY n) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY repository_id, pattern_id ORDER BY detected_at, file_path) AS n FROM f_occurrences) WHERE n <= 3 GROUP BY 1, 2)
 SELECT repository_id, name, category AS "group", occurrences, first_seen, examples FROM s JOIN e USING (repository_id, pattern_id)""", "f_occurrences f_patterns")
 def _(t):
-    st = t.f_occurrences.groupBy("repository_id", "pattern_id").agg(F.count("*").alias("occurrences")).join(t.f_patterns, "pattern_id").filter("name like '%c%'")
+    st = t.f_occurrences.groupBy("repository_id", "pattern_id").agg(F.count("*").alias("occurrences")).join(t.f_patterns, "pattern_id")
     out = ops.pattern_browser(st, t.f_occurrences, term="C")
     return out.select("repository_id", "name", "group", "occurrences", "first_seen", F.array_join("examples", "|", "-").alias("examples"))
 

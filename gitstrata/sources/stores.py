@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gitstrata.functions.common import latest_per_key, non_empty, resolve_as_of
@@ -89,6 +89,45 @@ def page(df: DataFrame, order: Sequence[Column | str], limit: int, offset: int =
     )
 
 
+def write_ranked(df: DataFrame, order: Sequence[Column | str], path: str) -> None:
+    """The rows in a total order, over range partitions, with the number of rows before each partition: pages at any depth.
+
+    The order is found once. No task sees more than a range of it, and what is added up is one number per partition.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    # The id holds the partition in its upper bits and the place in the partition in its lower 33.
+    part, place = F.shiftright("_id", 33).cast("int"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    rows.select(*df.columns, place.alias("_place"), part.alias("_part")).write.partitionBy("_part").parquet(f"{path}/rows")
+    sizes = df.sparkSession.read.parquet(f"{path}/rows").groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")
+    sizes.withColumn("_before", before).coalesce(1).write.parquet(f"{path}/sizes")
+
+
+def ranked_page(spark: SparkSession, path: str, limit: int, offset: int = 0) -> DataFrame:
+    """One page of rows written by ``write_ranked``; only the partitions that hold it are read."""
+    sizes = spark.read.parquet(f"{path}/sizes")
+    total = sizes.select(F.coalesce(F.sum("_rows"), F.lit(0))).scalar()
+    held = sizes.filter((F.col("_before") < offset + limit) & (F.col("_before") + F.col("_rows") > offset)).select("_part", "_before")
+    rows = spark.read.parquet(f"{path}/rows").join(held, "_part").withColumn("position", F.col("_before") + F.col("_place"))
+    page = rows.filter(F.col("position").between(offset, offset + limit - 1)).drop("_part", "_place", "_before")
+    return page.withColumn("total", total).withColumn("has_more", F.lit(offset + limit) < F.col("total"))
+
+
+def page_after(df: DataFrame, order: dict[str, str], last: dict[str, Column], limit: int) -> DataFrame:
+    """The page behind the row ``last``; ``order`` leads from column to ``asc`` or ``desc``. Columns must not be NULL.
+
+    The condition on the first column reaches the scan, and every partition keeps its first ``limit`` rows.
+    """
+    behind, equal = F.lit(False), F.lit(True)
+    for column, direction in order.items():
+        further = F.col(column) > last[column] if direction == "asc" else F.col(column) < last[column]
+        behind, equal = behind | (equal & further), equal & (F.col(column) == last[column])
+    first, direction = next(iter(order.items()))
+    bound = F.col(first) >= last[first] if direction == "asc" else F.col(first) <= last[first]
+    sort = [F.asc(c) if d == "asc" else F.desc(c) for c, d in order.items()]
+    return df.filter(bound & behind).orderBy(*sort).limit(limit)
+
+
 def by_repository(df: DataFrame, repository_id: str) -> DataFrame:
     return df.filter(F.col("repository_id") == repository_id)
 
