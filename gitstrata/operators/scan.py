@@ -107,9 +107,14 @@ def line_pattern_rules() -> list[Rule]:
     return numbered(out)
 
 
-def user_rule(name: str, text: str, complexity: str = "intermediate", confidence: float = 0.8, **kwargs: object) -> Rule:
-    """A rule of one's own: the literal ``text`` anywhere in a file."""
-    return Rule("user", name, re.escape(text), confidence=confidence, level=complexity, **kwargs)
+def user_rule(name: str, text: str, complexity: str = "intermediate", confidence: float = 0.8, expression: bool = False, **kwargs: object) -> Rule:
+    """A rule of one's own: the literal ``text`` anywhere in a file, or an ``expression`` (Python's) that is checked here.
+
+    Further settings are those of a ``Rule``: ``languages``, ``ignore_case``, ``severity``, ``category``.
+    """
+    if expression:
+        re.compile(text)
+    return Rule("user", name, text if expression else re.escape(text), confidence=confidence, level=complexity, **kwargs)
 
 
 _RULE_COLUMNS = (

@@ -12,6 +12,8 @@ from gitstrata.plans.deps_plans import DEPS
 from gitstrata.plans.registry import query
 from gitstrata.rules import patterns as pr
 from gitstrata.rules import security as sr
+from gitstrata.session import shared_folder
+from gitstrata.sources.tree import read_tree
 
 
 def lit(text) -> str:
@@ -334,3 +336,32 @@ FROM (SELECT path, array_to_string(string_split(content, 'def ')[1:k], 'def ') A
 def _(t):
     rule = ops.user_rule("custom_pattern", "def ", confidence=0.85)
     return ops.scan(t.f_code, [rule]).select("path", "line_number", "name", "level", "confidence")
+
+
+DECLARES, SPELLED = r"(def|func|fn|class) +[A-Za-z_]+", r"[a-z]+_[a-z]+\("
+
+
+@query("user_expressions", f"""
+WITH l AS (SELECT path, language, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM f_code),
+ m AS (SELECT path, n, 'declares' AS name, 'advanced' AS level, 0.7::DOUBLE AS confidence, unnest(regexp_extract_all(line, '(?i){DECLARES}')) FROM l
+  UNION ALL SELECT path, n, 'snake_call', 'intermediate', 0.6::DOUBLE, unnest(regexp_extract_all(line, '{SPELLED}')) FROM l WHERE language = 'python')
+SELECT path, CAST(n AS INTEGER) AS line_number, name, level, confidence FROM m""", "f_code")
+def _(t):
+    """Rules of one's own by expression, one of them for one language only."""
+    rules = [ops.user_rule("declares", DECLARES, "advanced", 0.7, expression=True, ignore_case=True), ops.user_rule("snake_call", SPELLED, confidence=0.6, expression=True, languages=("python",))]
+    return ops.scan(t.f_code, ops.numbered(rules)).select("path", "line_number", "name", "level", "confidence")
+
+
+@query("tree_scan", """
+SELECT lang, source, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS n_lines
+FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2""")
+def _(t):
+    """Texts written as a tree of files and read back; copies in directories that a snapshot leaves out are not listed."""
+    root = shared_folder(t.spark, "tree")
+    texts = t.documents.filter("text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL").select("text", "lang", "source").repartition("lang", "source")
+    for below in ("src", "src/node_modules", ".git"):
+        texts.write.partitionBy("lang", "source").option("maxRecordsPerFile", 1000).text(f"{root}/{below}")
+    files = read_tree(t.spark, root).filter("path LIKE '%.txt'")
+    part = lambda name: F.regexp_extract("path", f"{name}=([^/]*)/", 1).alias(name)
+    lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
+    return files.groupBy(part("lang"), part("source")).agg(F.sum("n_bytes").alias("n_bytes"), F.sum(lines).cast("long").alias("n_lines"))

@@ -263,3 +263,31 @@ def test_versions_in_ranges_of_many_advisories(spark):
     )
     assert sorted((r.id, r.cve) for r in got.collect()) == want and len(want) > 1000
     assert "CartesianProduct" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+
+
+# Trees of files
+
+
+def test_tree_lists_nothing_that_is_left_out(spark, tmp_path, monkeypatch):
+    from gitstrata.sources import tree
+
+    for name, content in {
+        "a.py": b"x", "src/b.py": b"y\xff", "src/deep/er/c.py": "é".encode(), "src/node_modules/d.js": b"n", ".git/e": b"g", "docs/.cache/f": b"h", "docs/g.md": b"", "lib/h.txt": b"z",
+    }.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(content)
+    (tmp_path / "empty").mkdir()
+    want = [("a.py", "x", 1), ("docs/g.md", "", 0), ("lib/h.txt", "z", 1), ("src/b.py", "y\ufffd", 2), ("src/deep/er/c.py", "é", 2)]
+    for splits in (1, 2, 3, 64):
+        got = tree.read_tree(spark, f"file://{tmp_path}/", splits=splits)
+        assert sorted(map(tuple, got.collect())) == want
+        assert got.rdd.getNumPartitions() >= min(splits, 4)
+    seen, scandir = [], tree.os.scandir
+    monkeypatch.setattr(tree.os, "scandir", lambda path: seen.append(str(path)) or scandir(path))
+    reader = tree.TreeReader(str(tmp_path), "snapshot", 2)
+    assert sum(b.num_rows for part in reader.partitions() for b in reader.read(part)) == len(want)
+    assert seen and not any(word in path for path in seen for word in ("node_modules", ".git", ".cache"))
+    assert "src/node_modules/d.js" not in {r.path for r in tree.read_tree(spark, str(tmp_path), "architecture").collect()}
+    with pytest.raises(ValueError):
+        tree.read_tree(spark, "hdfs://there/tree")
