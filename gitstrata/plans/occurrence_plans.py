@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from gitstrata.functions.common import joined
 from gitstrata.operators import occurrences as ops
+from gitstrata.operators import reach
 from gitstrata.plans.registry import query
+from gitstrata.session import written
 
 OCC = "f_occurrences f_patterns"
 WIDE = "f_name_occurrences f_name_patterns"
@@ -177,3 +179,26 @@ SELECT repository_id, occurrence_id, pattern_id, detected_at FROM f_occurrences
 QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY detected_at DESC, occurrence_id DESC) = 1""", "f_occurrences")
 def _(t):
     return ops.latest_occurrence(t.f_occurrences).select("repository_id", "occurrence_id", "pattern_id", "detected_at")
+
+
+@query("pattern_reach", """
+WITH o AS (SELECT pattern_id, CAST(date_trunc('month', detected_at) AS DATE) AS month, file_path FROM f_occurrences)
+SELECT pattern_id, month, count(DISTINCT file_path) AS reached, count(*) AS facts FROM o GROUP BY 1, 2 UNION ALL SELECT pattern_id, NULL, count(DISTINCT file_path), count(*) FROM o GROUP BY 1""", OCC)
+def _(t):
+    """Distinct files per pattern, by month and over all time, from the sets of days."""
+    occ = t.f_occurrences.withColumn("day", F.to_date("detected_at"))
+    days = written(reach.parts(occ, ["pattern_id", "day"], "file_path", reach.numbers(occ, "file_path")), "reach")
+    months = reach.counts(days.withColumn("month", F.trunc("day", "month")), ["pattern_id", "month"])
+    return months.unionByName(reach.counts(days, ["pattern_id"]).withColumn("month", F.lit(None).cast("date")))
+
+
+@query("order_reach", """
+SELECT l_returnflag, CAST(year(l_shipdate) AS INTEGER) AS year, count(DISTINCT l_orderkey) AS reached, count(*) AS facts FROM lineitem GROUP BY 1, 2
+UNION ALL SELECT l_returnflag, NULL, count(DISTINCT l_orderkey), count(*) FROM lineitem GROUP BY 1 UNION ALL SELECT NULL, NULL, count(DISTINCT l_orderkey), count(*) FROM lineitem""")
+def _(t):
+    """Distinct orders per return flag and year, per flag, and in all, from one pass over the lines."""
+    lines = t.lineitem.select("l_returnflag", F.year("l_shipdate").alias("year"), "l_orderkey")
+    years = written(reach.parts(lines, ["l_returnflag", "year"], "l_orderkey", reach.numbers(lines, "l_orderkey")), "reach")
+    flag, year = F.lit(None).cast("string").alias("l_returnflag"), F.lit(None).cast("int").alias("year")
+    flags, every = reach.counts(years, ["l_returnflag"]), reach.counts(years, [])
+    return reach.counts(years, ["l_returnflag", "year"]).unionByName(flags.select("*", year)).unionByName(every.select("*", flag, year))

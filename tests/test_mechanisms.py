@@ -291,3 +291,26 @@ def test_tree_lists_nothing_that_is_left_out(spark, tmp_path, monkeypatch):
     assert "src/node_modules/d.js" not in {r.path for r in tree.read_tree(spark, str(tmp_path), "architecture").collect()}
     with pytest.raises(ValueError):
         tree.read_tree(spark, "hdfs://there/tree")
+
+
+# Distinct counts that add up
+
+
+def test_reach_adds_up_over_steps(spark, root):
+    from gitstrata.operators import reach
+
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), rng.randrange(4), rng.choice([None, *range(70_000)])) for _ in range(6000)] + [("a", 0, i) for i in range(0, 70_000, 7)] + [("c", 9, None)]
+    table = PartTable(spark, root, "k string, day int, stretch long, bits binary, facts long", lambda r: reach.merge(r, ["k", "day"]), compact_every=2)
+    known = None
+    for step in range(3):
+        facts = spark.createDataFrame(rows[step::3], "k string, day int, v int")
+        known = spark.createDataFrame(reach.numbers(facts, "v", known).collect(), "v int, number long")
+        table.write(reach.parts(facts, ["k", "day"], "v", known), step)
+    assert sorted(r.number for r in known.collect()) == list(range(len({v for _, _, v in rows} - {None})))
+    for keys, place in ((["k", "day"], lambda r: r[:2]), (["k"], lambda r: r[:1]), ([], lambda r: ())):
+        groups = collections.defaultdict(list)
+        for r in rows:
+            groups[place(r)].append(r[2])
+        got = {tuple(r[c] for c in keys): (r.reached, r.facts) for r in reach.counts(table.read(), keys).collect()}
+        assert got == {k: (len(set(v) - {None}), len(v)) for k, v in groups.items()}
