@@ -10,6 +10,8 @@ from gitstrata.session import written
 from gitstrata.sources.stores import natural_key
 
 FILE = ["repository_id", "path"]
+#: Items that an entry of the index of ``related_repositories`` carries along.
+AHEAD = 16
 
 
 def snapshot(files: DataFrame, taken_at: Column) -> DataFrame:
@@ -132,8 +134,10 @@ def related_repositories(items: DataFrame, threshold: float, value: str = "name"
 
     A pair shares at least ``threshold`` times the larger of its total weights. So with items in one order, rarest first, both
     have a common item before their rest weighs less than that: only these prefixes are joined, as an inverted
-    index. Totals that differ by more than the threshold, and pairs whose places in the index leave too little, are dropped before
-    the exact sums. Weights must be positive; rows with a NULL, or a weight of 0 or less, do not count.
+    index. An entry carries its repository's next ``AHEAD`` items in that order, so the join itself works out what the two share
+    from there on: exactly for profiles that end there, else at most that plus what follows. Pairs that cannot reach the threshold
+    leave in the join and are never shuffled; the others get exact sums. Weights must be positive; rows with a NULL, or a weight
+    of 0 or less, do not count.
     """
     rows = items.select("repository_id", F.col(value).alias("v"), F.col(weight).cast("double").alias("w"))
     rows = rows.filter("repository_id IS NOT NULL AND v IS NOT NULL AND w > 0").groupBy("repository_id", "v").agg(F.sum("w").alias("w"))
@@ -143,27 +147,39 @@ def related_repositories(items: DataFrame, threshold: float, value: str = "name"
     least = profiles.groupBy("d1", "d2", "n").agg(F.min("repository_id").alias("class_id"))
     classes = written(profiles.join(least, ["d1", "d2", "n"]).select("repository_id", "class_id"), "classes")
     mine = rows.join(classes.filter("repository_id = class_id").select("repository_id"), "repository_id", "left_semi")
-    rarity = mine.groupBy("v").agg(F.count("*").alias("holders"))
-    ranked = mine.join(rarity.filter("holders > 1"), "v", "left")
+    rarity = mine.groupBy("v").agg(F.count("*").alias("holders")).filter("holders > 1")
+    rarity = written(rarity.withColumn("item", F.monotonically_increasing_id()), "rarity")
     totals = mine.groupBy("repository_id").agg(F.sum("w").alias("total"))
-    ranked = written(ranked.join(totals, "repository_id").select("repository_id", "v", "w", "total", F.coalesce("holders", F.lit(1)).alias("holders")), "weighted")
-    order = Window.partitionBy("repository_id").orderBy("holders", "v")
-    from_here = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
+    ranked = mine.join(rarity, "v", "left").join(totals, "repository_id")
+    ranked = written(ranked.select("repository_id", "item", "w", "total", F.coalesce("holders", F.lit(1)).alias("holders")), "weighted")
+    order = Window.partitionBy("repository_id").orderBy("holders", "item")
+    before = F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ahead = F.collect_list(F.struct("item", "w")).over(order.rowsBetween(1, AHEAD))
     # Items of one holder can be shared by nobody, but their weight counts for the prefix.
-    prefix = ranked.withColumn("rest", from_here).filter((F.col("rest") >= F.col("total") * threshold * (1 - 1e-9)) & (F.col("holders") > 1))
-    a = prefix.select("v", F.col("repository_id").alias("repo_a"), F.col("total").alias("total_a"), F.col("w").alias("wa"), F.col("rest").alias("rest_a"))
-    b = prefix.select("v", F.col("repository_id").alias("repo_b"), F.col("total").alias("total_b"), F.col("w").alias("wb"), F.col("rest").alias("rest_b"))
+    prefix = ranked.withColumns({"rest": F.col("total") - before, "ahead": ahead})
+    prefix = prefix.filter((F.col("rest") >= F.col("total") * threshold * (1 - 1e-9)) & (F.col("holders") > 1))
+    listed = F.aggregate("ahead", F.lit(0.0), lambda s, x: s + x["w"])
+    # What follows the listed items: nothing when the list is not full.
+    after = F.when(F.size("ahead") < AHEAD, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("rest") - F.col("w") - listed))
+    entries = prefix.select("item", "repository_id", "total", "w", (F.col("rest") - F.col("w")).alias("rest"), after.alias("after"), "ahead.item", "ahead.w")
+    names = ["repo", "total", "w", "rest", "after", "items", "weights"]
+    a, b = (entries.toDF("item", *[f"{c}_{side}" for c in names]) for side in "ab")
     smaller, larger = F.least("total_a", "total_b"), F.greatest("total_a", "total_b")
-    sized = a.join(b, "v").filter("repo_a < repo_b").filter(smaller >= larger * threshold * (1 - 1e-9))
-    # At the first common item of a pair nothing before it is shared: what is left bounds the shared weight.
-    first = sized.groupBy("repo_a", "repo_b").agg(
-        F.max(F.least("rest_a", "rest_b")).alias("left"), F.first("total_a").alias("total_a"), F.first("total_b").alias("total_b")
-    )
-    # Shared weight s gives s / (a + b - s).
+    sized = a.join(b, "item").filter("repo_a < repo_b").filter(smaller >= larger * threshold * (1 - 1e-9))
+    # Shared weight s gives s / (a + b - s). At the first common item of a pair nothing before it is shared.
     need = (F.col("total_a") + F.col("total_b")) * (threshold / (1 + threshold)) * (1 - 1e-9)
-    likely = written(first.filter(F.col("left") >= need).select("repo_a", "repo_b", "total_a", "total_b"), "likely-pairs")
-    side_a = likely.select("repo_a", "repo_b").join(ranked.filter("holders > 1").select(F.col("repository_id").alias("repo_a"), "v", F.col("w").alias("wa")), "repo_a")
-    shared = side_a.join(ranked.select(F.col("repository_id").alias("repo_b"), "v", F.col("w").alias("wb")), ["repo_b", "v"])
+
+    def weight_of(x: Column, side: str) -> Column:
+        return F.get(f"weights_{side}", F.array_position(f"items_{side}", x).cast("int") - 1)
+
+    in_both = F.aggregate(F.array_intersect("items_a", "items_b"), F.lit(0.0), lambda s, x: s + F.least(weight_of(x, "a"), weight_of(x, "b")))
+    in_both = F.when(F.arrays_overlap("items_a", "items_b"), in_both).otherwise(0.0)
+    # Of two lists in one order only the one that ends first can have its rest in the other list, so one of the rests bounds both.
+    here, rest = F.least("w_a", "w_b"), F.least("rest_a", "rest_b")
+    reaches = F.when(here + rest < need, False).otherwise(here + F.least(rest, in_both + F.greatest("after_a", "after_b")) >= need)
+    likely = written(sized.filter(reaches).select("repo_a", "repo_b", "total_a", "total_b").distinct(), "likely-pairs")
+    side_a = likely.select("repo_a", "repo_b").join(ranked.filter("holders > 1").select(F.col("repository_id").alias("repo_a"), "item", F.col("w").alias("wa")), "repo_a")
+    shared = side_a.join(ranked.select(F.col("repository_id").alias("repo_b"), "item", F.col("w").alias("wb")), ["repo_b", "item"])
     shared = shared.groupBy("repo_a", "repo_b").agg(F.sum(F.least("wa", "wb")).alias("shared"))
     pairs = likely.join(shared, ["repo_a", "repo_b"]).withColumn("similarity", F.col("shared") / (F.col("total_a") + F.col("total_b") - F.col("shared")))
     return pairs.filter(F.col("similarity") >= threshold).select("repo_a", "repo_b", "similarity"), classes

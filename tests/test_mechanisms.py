@@ -212,6 +212,26 @@ def test_related_repositories_equal_all_pairs(spark, threshold):
     assert {(r.repo_a, r.repo_b): pytest.approx(r.similarity) for r in pairs.collect()} == want and want
 
 
+@pytest.mark.parametrize("ahead", [1, 3, 16])
+def test_related_repositories_shuffle_only_pairs_that_can_be_alike(spark, monkeypatch, ahead):
+    rng = random.Random(12)
+    sets = {f"r{i}": {f"v{rng.randrange(60)}": rng.randrange(1, 51) for _ in range(rng.randrange(1, 7))} for i in range(300)}
+    rows = [(r, v, w) for r, items in sets.items() for v, w in items.items()]
+    seen, written = {}, incremental.written
+    monkeypatch.setattr(incremental, "AHEAD", ahead, raising=False)
+    monkeypatch.setattr(incremental, "written", lambda df, purpose: seen.setdefault(purpose, written(df, purpose)))
+    pairs, classes = incremental.related_repositories(spark.createDataFrame(rows, "repository_id string, name string, weight int"), 0.3)
+    want = {}
+    for a, b in itertools.combinations(sorted({r.class_id for r in classes.collect()}), 2):
+        shared = sum(min(w, sets[b].get(v, 0)) for v, w in sets[a].items())
+        value = shared / (sum(sets[a].values()) + sum(sets[b].values()) - shared)
+        if value >= 0.3:
+            want[a, b] = value
+    assert {(r.repo_a, r.repo_b): pytest.approx(r.similarity) for r in pairs.collect()} == want and len(want) > 100
+    if ahead == 16:  # every list is whole, so the join lets through what is alike and nothing else
+        assert seen["likely-pairs"].count() == len(want)
+
+
 def test_similar_many_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     centers = rng.normal(size=(12, 16)) * 3
