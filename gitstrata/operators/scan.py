@@ -352,14 +352,17 @@ def vulnerable_ranges(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     A range holds ``introduced`` (NULL: from the first version on) and ends before ``fixed`` (NULL: has no end). A version
     without a number lies in no range. A package's versions are few however many manifests name them, so each distinct version
     meets the package's ranges once, by places on a line of all its versions and bounds: the first and the last version inside a
-    range are looked up there, and versions are found by the blocks of places that a range covers.
-    Manifests then meet only the versions that are hit.
+    range are looked up there, and versions are found by the blocks of places that a range covers. Advisories with equal bounds
+    are one range until then. Manifests then meet only the versions that are hit; the result has a row for each manifest's
+    dependency and advisory, so count equal dependencies first where only their number matters.
     """
     key = ["ecosystem", "package"]
     rows = deps.withColumn("_version", version_key(F.col("version")))
     # Each version and each bound once, in order; a bound stands before an equal version.
     versions = rows.filter("_version IS NOT NULL").select(*key, F.col("_version").alias("at"), F.lit(1).alias("side")).distinct()
     own = advisories.select(*key, version_key(F.col("introduced")).alias("low"), version_key(F.col("fixed")).alias("high"), "introduced", "fixed", "cve")
+    # No version has a part below zero.
+    own = own.withColumn("_range", F.struct(*[F.coalesce(c, F.array(F.lit(-1).cast("long"))).alias(c) for c in ("low", "high")]))
     bounds = own.select(*key, F.explode(F.array("low", "high")).alias("at"), F.lit(0).alias("side")).filter("at IS NOT NULL").distinct()
     line = versions.unionByName(bounds.join(versions.select(*key).distinct(), key, "left_semi"))
     order = Window.partitionBy(*key).orderBy("at", "side")
@@ -367,10 +370,11 @@ def vulnerable_ranges(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     placed = line.filter("side = 1").select(*key, "at", "place")
     known = line.filter("side = 0").select(*key, "at", "place")
     first, last = (known.select(*key, F.col("at").alias(a), F.col("place").alias(b)) for a, b in (("low", "first"), ("high", "last")))
-    ranges = own.join(first, [*key, "low"], "left").join(last, [*key, "high"], "left")
+    # Equal bounds are one range, however many advisories have them.
+    ranges = own.select(*key, "low", "high", "_range").distinct().join(first, [*key, "low"], "left").join(last, [*key, "high"], "left")
     ends = placed.groupBy(*key).agg(F.max("place").alias("top"))
     ranges = ranges.join(ends, key).select(
-        *key, "introduced", "fixed", "cve", F.coalesce("first", F.lit(0)).alias("first"),
+        *key, "_range", F.coalesce("first", F.lit(0)).alias("first"),
         F.coalesce(F.col("last") - 1, F.col("top")).alias("last"), F.sqrt(F.col("top") + 1).cast("long").alias("width"),
     ).filter("first <= last")
     # Blocks of about the root of the number of versions: a range covers few, and a version lies in one.
@@ -378,8 +382,12 @@ def vulnerable_ranges(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     placed = placed.join(ends, key).withColumn("width", F.sqrt(F.col("top") + 1).cast("long")).withColumn("block", block)
     covered = ranges.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / F.col("width")), F.floor(F.col("last") / F.col("width")))))
     hits = placed.select(*key, "at", "place", "block").join(covered.drop("width"), [*key, "block"]).filter("place BETWEEN first AND last")
-    hits = hits.select(*key, F.col("at").alias("_version"), "introduced", "fixed", "cve")
-    return rows.join(hits, [*key, "_version"]).drop("_version")
+    hits = hits.select(*key, F.col("at").alias("_version"), "_range")
+    found = rows.join(hits, [*key, "_version"]).drop("_version")
+    # This join makes many rows of few: the parts are fixed, so that small sides are not put together into one task.
+    parts = 8 * deps.sparkSession.sparkContext.defaultParallelism
+    found, own = (side.repartition(parts, *key, "_range") for side in (found, own.select(*key, "_range", "introduced", "fixed", "cve")))
+    return found.join(own, [*key, "_range"]).drop("_range")
 
 
 def _severity_weight() -> Column:

@@ -12,7 +12,7 @@ from gitstrata.plans.deps_plans import DEPS
 from gitstrata.plans.registry import query
 from gitstrata.rules import patterns as pr
 from gitstrata.rules import security as sr
-from gitstrata.session import shared_folder
+from gitstrata.session import shared_folder, written
 from gitstrata.sources.tree import read_tree
 
 
@@ -327,7 +327,9 @@ AND (introduced IS NULL OR {KEY.format("version")} >= {KEY.format("introduced")}
 def _(t):
     """Uses of each version inside an advisory's range, many advisories per package."""
     rows = {c: t.spark.sql(f"WITH {RANGED.format(lineitem='{lineitem}', supplier='{supplier}')} SELECT * FROM {c}", lineitem=t.lineitem, supplier=t.supplier) for c in "dv"}
-    return ops.vulnerable_ranges(rows["d"], rows["v"]).groupBy("ecosystem", "package", "version", "cve").agg(F.count("*").alias("uses"))
+    # Uses are counted before the join: a version's advisories are met once, not once per line that names it.
+    used = written(rows["d"].groupBy("ecosystem", "package", "version").agg(F.count("*").alias("uses")), "version-uses")
+    return ops.vulnerable_ranges(used, rows["v"]).groupBy("ecosystem", "package", "version", "cve").agg(F.sum("uses").alias("uses"))
 
 
 @query("user_rules", """

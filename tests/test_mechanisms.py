@@ -285,6 +285,30 @@ def test_versions_in_ranges_of_many_advisories(spark):
     assert "CartesianProduct" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
 
 
+def test_uses_of_versions_are_counted_before_they_meet_advisories(spark, tmp_path, monkeypatch):
+    """A version that many lines name meets its advisories once; equal advisories all count."""
+    from gitstrata.operators import scan
+    from gitstrata.plans.catalog import QUERIES
+
+    lines = [(i, 50 * (i % 2) + 2, 1, i % 6, float(i % 4)) for i in range(600)] + [(None, None, None, None, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    suppliers = [(s, n) for s in (2, 52, 52, 7) for n in (0, 5)] + [(None, 1)]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    seen, operator = [], scan.vulnerable_ranges
+    monkeypatch.setattr(scan, "vulnerable_ranges", lambda deps, advisories: seen.append(deps.count()) or operator(deps, advisories))
+    got = {(r.package, r.version, r.cve): r.uses for r in QUERIES["vulnerable_ranges"](spark, str(tmp_path)).collect()}
+    number = lambda v: tuple(map(int, v.lstrip("^").split(".")))
+    want = collections.Counter()
+    for _, p, _, n, q in lines[:-1]:
+        for s, k in suppliers[:-1]:
+            version = "latest" if p % 11 == 0 else f"^{n}.{p % 7}.{int(q)}"
+            low = (k % 7, s % 7) if s % 5 else ()
+            high = (k % 7 + s % 2, 3, k) if s % 9 else (99,)
+            if version != "latest" and p % 50 == s % 50 and low <= number(version) < high:
+                want[f"pkg{p % 50}", version, f"CVE-{s}"] += 1
+    assert got == want and len(want) > 5 and seen[0] <= 2 * 6 * 4 + 1
+
+
 # Trees of files
 
 
