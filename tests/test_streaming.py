@@ -3,14 +3,16 @@
 import collections
 import datetime as dt
 import random
+import tracemalloc
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from gitstrata.operators import health
 from gitstrata.session import shared_folder
-from gitstrata.streaming import jobs
+from gitstrata.streaming import jobs, state
 
 SCHEMA = "user_id string, name string, request_id long, event_id long, ts timestamp, value double, threshold_warning double, threshold_critical double"
 START = dt.datetime(2024, 1, 1)
@@ -52,6 +54,51 @@ def test_rate_limit_equals_brute_force(spark, root):
     assert got == want and len(want) > 50
 
 
+class Held:
+    """What a state function needs of its state."""
+
+    hasTimedOut = exists = False
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def setTimeoutTimestamp(self, at):
+        pass
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+
+def test_rate_limit_holds_a_few_numbers_a_row():
+    """One key with all rows of a micro-batch: frames are not kept, and what is turned away leaves in blocks."""
+    rng, n, limit = np.random.default_rng(3), 300_000, 10
+    seconds = rng.integers(0, 40_000, n)
+    ids = rng.permutation(n)
+
+    def frames():
+        for i in range(0, n, 10_000):
+            at = slice(i, i + 10_000)
+            yield pd.DataFrame({"user_id": "u" * 20, "request_id": ids[at], "ts": np.datetime64(START, "us") + seconds[at].astype("timedelta64[s]")})
+
+    held, turned, tracked = Held(), [], 0
+    tracemalloc.start()
+    for frame in state.rate_limiter(limit, 600)(("u",), frames(), held):
+        turned.append(frame["request_id"].to_numpy(np.int64))
+        assert (frame["recent"] == limit).all() and len(frame) <= state.BLOCK
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    accepted, want = collections.deque(), set()
+    for i in np.lexsort((ids, seconds)):
+        while accepted and seconds[i] - accepted[0] >= 600:
+            accepted.popleft()
+        if len(accepted) >= limit:
+            want.add(int(ids[i]))
+        else:
+            accepted.append(seconds[i])
+    assert set(np.concatenate(turned).tolist()) == want and len(want) > n / 2
+    assert peak < 100 * n
+
+
 def test_windows_close_and_late_rows_are_dropped(spark, root):
     build = lambda s: jobs.stream_metric_average(s, "1 minute", "1 minute", "1 minute")
     write(spark, f"{root}/in", 0, [(1, "m", 10, 2.0), (2, "m", 5, 4.0), (3, "m", 70, 10.0)])
