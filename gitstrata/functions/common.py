@@ -64,6 +64,16 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hash-dealt by ``keys`` into parts that grow in number with its splits, for steps that group by these keys.
+
+    What groups by ``keys`` and more needs no other shuffle. The number is fixed, because parts that are put together by their
+    size on disk hold millions of rows where these pack well, and sorting them is what a task's memory goes into.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, 8 * df.rdd.getNumPartitions()), *keys)
+
+
 def top_n_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int = 32, rank: str | None = None
 ) -> DataFrame:

@@ -3,12 +3,13 @@
 Input is long: ``task_id, key, model_id, confidence, num_value, str_value``; a
 key is numeric when ``num_value`` is set. Each method is a pair of aggregates:
 values per (task, key) and confidence per task. Groups are as large as the
-number of models, and all aggregates combine on the map side.
+number of models, and all aggregates combine on the map side. Votes that
+are dealt by task already (``common.dealt``) are not shuffled again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TASK = ["task_id"]
@@ -67,9 +68,11 @@ def consensus(votes: DataFrame, method: str, weights: DataFrame | None = None) -
         out = keyed.filter("num_value IS NOT NULL OR str_value IS NOT NULL").join(per_task, TASK)
         return out.withColumn("num_value", F.col("num_value") / F.col("total_weight")).drop("total_weight")
     if method == "best":
-        best = _confidence(votes).groupBy(*TASK).agg(
-            F.min_by("model_id", F.struct(-F.col("confidence"), "model_id")).alias("model_id"), F.max("confidence").alias("best")
-        )
-        chosen = votes.join(best, ["task_id", "model_id"])
-        return chosen.select(*KEY, "num_value", "str_value", F.col("best").alias("confidence"))
+        # Over a task's few rows, so nothing is joined: rows dealt by task are sorted once.
+        of_model, of_task = Window.partitionBy("task_id", "model_id"), Window.partitionBy("task_id")
+        ranked = votes.filter("task_id IS NOT NULL").withColumn("_model", F.max("confidence").over(of_model))
+        ranked = ranked.withColumns({
+            "_chosen": F.min_by("model_id", F.struct(-F.col("_model"), "model_id")).over(of_task), "_best": F.max("confidence").over(of_task),
+        })
+        return ranked.filter("model_id = _chosen").select(*KEY, "num_value", "str_value", F.col("_best").alias("confidence"))
     raise ValueError(f"unknown consensus method {method!r}")

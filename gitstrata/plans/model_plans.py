@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gitstrata.functions.common import joined
+from gitstrata.functions.common import dealt, joined
 from gitstrata.operators import completions as comp
 from gitstrata.operators import models as ops
 from gitstrata.operators.consensus import consensus
@@ -166,12 +166,13 @@ def _(t):
 
 def votes(t):
     """Long votes: a number and a text per model and task, one row per model."""
-    base = t.f_model_results.groupBy("task_id", "model_id").agg(
+    base = dealt(t.f_model_results, "task_id").groupBy("task_id", "model_id").agg(
         F.max("confidence").alias("confidence"), F.max("num_value").alias("num"), F.max("str_value").alias("txt")
     )
-    number = base.select("task_id", F.lit("lines").alias("key"), "model_id", "confidence", F.col("num").alias("num_value"), F.lit(None).cast("string").alias("str_value"))
-    text = base.select("task_id", F.lit("flag").alias("key"), "model_id", "confidence", F.lit(None).cast("double").alias("num_value"), F.col("txt").alias("str_value"))
-    return number.unionByName(text)
+    number = F.struct(F.lit("lines").alias("key"), F.col("num").alias("num_value"), F.lit(None).cast("string").alias("str_value"))
+    text = F.struct(F.lit("flag").alias("key"), F.lit(None).cast("double").alias("num_value"), F.col("txt").alias("str_value"))
+    both = base.select("task_id", "model_id", "confidence", F.inline(F.array(number, text)))
+    return both.select("task_id", "key", "model_id", "confidence", "num_value", "str_value")
 
 
 VOTES = """
@@ -208,7 +209,7 @@ SELECT task_id, 'lines' AS key, num_value, CAST(NULL AS VARCHAR) AS str_value, c
 UNION ALL SELECT task_id, 'flag', NULL, h.txt, confidence FROM q JOIN h USING (task_id)""", "f_model_results")
 def _(t):
     weights = t.spark.createDataFrame([("model0", 3.0), ("model1", 2.0)], "model_id string, weight double")
-    return _rounded(consensus(votes(t), "weighted", weights))
+    return _rounded(consensus(votes(t), "weighted", F.broadcast(weights)))
 
 
 @query("consensus_best", VOTES + """

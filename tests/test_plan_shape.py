@@ -33,3 +33,10 @@ def test_scan_reads_only_what_it_needs(spark, sf):
 def test_filter_reaches_the_scan(spark, sf):
     t = Tables(spark, sf)
     assert "PushedFilters: [IsNotNull(ts)" in plan(t.events.filter("ts > timestamp_ntz'2024-01-20'"))
+
+
+@pytest.mark.parametrize("method", ["confidence", "majority", "weighted", "best"])
+def test_votes_are_dealt_once_into_parts_of_a_fixed_number(spark, sf, method):
+    text = plan(catalog.QUERIES[f"consensus_{method}"](spark, sf))
+    dealt = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and all("REPARTITION_BY_NUM" in line for line in dealt)
