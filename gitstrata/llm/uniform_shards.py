@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gitstrata.llm.store import free
@@ -96,15 +96,21 @@ def shuffle(df: DataFrame, shards: int, by: list[str] | None = None, seed: int =
     blocks = sorted(counts)
     ends = np.cumsum(communication([counts[b] for b in blocks], sizes, seed), axis=1)
     plan = spark.createDataFrame([(b, e.tolist()) for b, e in zip(blocks, ends, strict=True)], f"{own}block int, {own}ends array<long>")
-    local = Window.partitionBy(f"{own}block").orderBy(f"{own}here", f"{own}there", *told)
-    ranked = dealt.withColumn(f"{own}rank", F.row_number().over(local)).join(F.broadcast(plan), f"{own}block")
-    shard = F.size(F.filter(f"{own}ends", lambda e: e < F.col(f"{own}rank"))).cast("int")
     bits = max(0, math.ceil(math.log2(max(sizes[0], 1) / rows)))
     chunk = F.shiftright(f"{own}there", 64 - bits) if bits else F.lit(0).cast("long")
-    sent = ranked.withColumns({"shard": shard, f"{own}chunk": chunk}).drop(f"{own}ends", f"{own}rank", f"{own}block")
-    # How many rows of a shard lie before each chunk; the texts are not read for it.
+
+    def sent_off(part: DataFrame, *ties: Column) -> DataFrame:
+        local = Window.partitionBy(f"{own}block").orderBy(f"{own}here", f"{own}there", *ties)
+        ranked = part.withColumn(f"{own}rank", F.row_number().over(local)).join(F.broadcast(plan), f"{own}block")
+        shard = F.size(F.filter(f"{own}ends", lambda e: e < F.col(f"{own}rank"))).cast("int")
+        return ranked.withColumns({"shard": shard, f"{own}chunk": chunk}).drop(f"{own}ends", f"{own}rank", f"{own}block")
+
+    sent = sent_off(dealt, *told)
+    # How many rows of a shard lie before each chunk. Rows that tie in both hashes are of one chunk, so their order does not
+    # matter here, and the counts need the hashes alone: the texts are not shuffled for them.
     before = F.sum("count").over(Window.partitionBy("shard").orderBy(f"{own}chunk").rowsBetween(Window.unboundedPreceding, -1))
-    per = sent.groupBy("shard", f"{own}chunk").count().select("shard", f"{own}chunk", F.coalesce(before, F.lit(0)).alias(f"{own}before"))
+    hashes = dealt.select(*[f"{own}{c}" for c in ("block", "here", "there")])
+    per = sent_off(hashes).groupBy("shard", f"{own}chunk").count().select("shard", f"{own}chunk", F.coalesce(before, F.lit(0)).alias(f"{own}before"))
     again = Window.partitionBy("shard", f"{own}chunk").orderBy(f"{own}there", f"{own}here", *told)
     numbered = sent.withColumn(f"{own}within", F.row_number().over(again) - 1).join(per, ["shard", f"{own}chunk"])
     slot = (F.col(f"{own}before") + F.col(f"{own}within")).cast("long")
