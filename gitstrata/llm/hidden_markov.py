@@ -7,9 +7,9 @@ three bytes (``shared`` hashed classes), so what a state must store is bounded:
 
     P(token | state) = P(class | state) * (c + 1) / (sum of c + 1 over the class, + 1 for the unseen)
 
-Baum-Welch starts from a model fitted to a bounded sample of documents (``START_DOCS``; a start only), then
-runs ``passes`` times over all training texts: each task returns its expected counts per class and state, Spark
-adds them, and the driver normalises the bounded table. Long texts are cut into pieces
+Baum-Welch starts from counts of all training texts, each of which leans to one state by a hash of its content, then
+runs ``passes`` times over all of them: each task returns its expected counts per class and state, Spark
+adds them, and the driver normalises the bounded table. No step learns from a sample. Long texts are cut into pieces
 of ``PIECE`` tokens for training only. Scoring is the scaled forward recursion over the
 whole text and gives the exact likelihood.
 
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from gitstrata.llm.store import remainder, written
 from gitstrata.llm.words import Texts, lists, signed, slices
 
-OWN, SHARED, STATES, PASSES = 1 << 16, 1 << 13, 8, 2
-PIECE, START_DOCS, START_ROUNDS = 128, 1500, 15
+OWN, SHARED, STATES, PASSES = 1 << 16, 1 << 13, 8, 6
+PIECE, LEAN = 128, 0.7
 BATCH, MERGED = 1 << 18, 1 << 19
 POOLED, DISCOUNT = 0.03, 0.9
 END = np.uint64(0x1F83D9ABFB41BD6B)
@@ -234,28 +234,6 @@ def ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.values)[offsets[0] : offsets[-1]], np.diff(offsets)
 
 
-def sample_start(encoded: DataFrame, n_classes: int, base: np.ndarray, states: int) -> Model:
-    """A first model from about ``START_DOCS`` training documents, picked by a hash of their row number."""
-    some = encoded.filter(~F.col("held_out"))
-    share = max(1, some.count() // START_DOCS)
-    rows = some.filter(F.pmod(F.xxhash64("row"), F.lit(share)) == 0).select("classes").limit(2 * START_DOCS).toArrow()
-    seq, counts = ragged(rows.column("classes").combine_chunks()) if rows.num_rows else (np.zeros(0, np.int32), np.zeros(0, int))
-    rng = np.random.default_rng(7)
-    if not len(seq):
-        return Model.of(np.zeros(states), np.zeros((states, states)), np.zeros((n_classes, states)), base)
-    # Each document leans to one state at first; rounds then move documents and words to their places.
-    lean = rng.dirichlet(np.full(states, 0.3), len(counts))
-    emit = np.zeros((n_classes, states))
-    owner = np.repeat(np.arange(len(counts)), counts)
-    for s in range(states):
-        emit[:, s] = np.bincount(seq, weights=lean[owner, s], minlength=n_classes)
-    model = Model.of(np.zeros(states), np.eye(states) * 1000, emit, base)
-    cut = pieces(seq, counts, PIECE)
-    for _ in range(START_ROUNDS):
-        model = Model.of(*expect(model, seq, cut), base)
-    return model
-
-
 def encode(docs: DataFrame, text: str, known: Classes) -> DataFrame:
     """``docs`` (id, held_out, text) as class sequences, with each document's tail tokens.
 
@@ -304,16 +282,14 @@ def encode(docs: DataFrame, text: str, known: Classes) -> DataFrame:
     )
 
 
-def baum_welch(encoded: DataFrame, model: Model, base: np.ndarray) -> Model:
-    """One pass over all training sequences."""
-    states = len(model.start)
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+def trained(encoded: DataFrame, base: np.ndarray, states: int, count: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
+    """The model of the start, transition and emission counts that ``count(seq, counts, print)`` gives, added over all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             seq, counts = ragged(batch.column(0))
-            part = expect(shared.value, seq, pieces(seq, counts, PIECE)) if len(seq) else None
+            part = count(seq, counts, np.asarray(batch.column(1))) if len(seq) else None
             if part:
                 total = part if total is None else tuple(a + b for a, b in zip(total, part, strict=True))
         if total is not None:
@@ -325,13 +301,36 @@ def baum_welch(encoded: DataFrame, model: Model, base: np.ndarray) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(v) for v in value.T]], ["k", *[f"s{i}" for i in range(states)]])
 
     named = [f"s{i}" for i in range(states)]
-    parts = encoded.filter(~F.col("held_out")).select("classes").mapInArrow(run, "k int, " + ", ".join(f"{c} double" for c in named))
+    texts = encoded.filter(~F.col("held_out")).select("classes", F.xxhash64("classes").alias("print"))
+    parts = texts.mapInArrow(run, "k int, " + ", ".join(f"{c} double" for c in named))
     sums = parts.groupBy("k").agg(*[F.sum(c).alias(c) for c in named]).toPandas()  # at most own + shared + states + 1 rows
     table = np.zeros((len(base) + states + 1, states))
     table[sums["k"].to_numpy(np.int64)] = sums[named].to_numpy()
     return Model.of(table[-1], table[-2 : -2 - states : -1], table[: len(base)], base)
 
 
+def first_model(encoded: DataFrame, base: np.ndarray, states: int) -> Model:
+    """A first model from all training texts: each leans to one state by a hash of its content, and states last."""
+
+    def count(seq: np.ndarray, counts: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lean = np.repeat((prints.view(np.uint64) % np.uint64(states)).astype(np.int64), counts)
+        here = np.bincount(seq * np.int64(states) + lean, minlength=len(base) * states).reshape(-1, states)
+        rest = (1 - LEAN) / max(states - 1, 1)
+        return np.zeros(states), np.eye(states) * counts.sum(), here * (LEAN - rest) + here.sum(1, keepdims=True) * rest
+
+    return trained(encoded, base, states, count)
+
+
+def baum_welch(encoded: DataFrame, model: Model, base: np.ndarray) -> Model:
+    """One pass over all training sequences."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+
+    def count(seq: np.ndarray, counts: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return expect(shared.value, seq, pieces(seq, counts, PIECE))
+
+    return trained(encoded, base, len(model.start), count)
+
+
 def likelihood(encoded: DataFrame, model: Model) -> DataFrame:
     """``encoded`` without sequences and with ``path``: log10 probability of each class sequence."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
@@ -358,7 +357,7 @@ def score(
     encoded = written(encode(source, "text", known), "token-classes")
     base = np.concatenate([known.n + 1.0, known.weight])
     base = base / base.sum()
-    model = sample_start(encoded, len(known), base, states)
+    model = first_model(encoded, base, states)
     for _ in range(passes):
         model = baum_welch(encoded, model, base)
     scored = likelihood(encoded.drop("rare", "times"), model)

@@ -145,6 +145,21 @@ def test_language_model_beats_single_words(spark, sf):
     assert a > b
 
 
+def test_language_model_learns_from_every_training_text(spark):
+    """The first model and each pass take up all training texts; a text that a sample would pass over counts as well."""
+    rows = [(i, i % 7 == 2, [i % 5, 5 + i % 3]) for i in range(4000)] + [(4000, False, [9, 9, 9, 9])]
+    encoded = spark.createDataFrame(rows, "row long, held_out boolean, classes array<int>").repartition(3)
+    base = np.full(10, 0.1)
+    n = np.bincount([c for _, held, s in rows if not held for c in s], minlength=10)
+    seen, of = [], hidden_markov.Model.of
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(hidden_markov.Model, "of", staticmethod(lambda start, step, emit, base: seen.append(emit) or of(start, step, emit, base)))
+        model = hidden_markov.first_model(encoded, base, 3)
+        hidden_markov.baum_welch(encoded, model, base)
+    for emit in seen:
+        assert np.allclose(emit.sum(1), n) and n[9] == 4
+
+
 def brute_classes(rows):
     root = {i: i for i, _ in rows}
 
