@@ -61,7 +61,8 @@ def placed(docs: DataFrame) -> DataFrame:
     before = F.sum(f"{own}rows").over(Window.orderBy(f"{own}name")) - F.col(f"{own}rows")
     sizes = sizes.select(f"{own}name", before.alias(f"{own}before"))
     position = (F.col(f"{own}before") + F.col(f"{own}row")).alias("position")
-    return rows.join(sizes, f"{own}name").select(*[f"`{c}`" for c in docs.columns], position)
+    # One row per file: sent to the tasks, so that no text is shuffled to meet its file's number.
+    return rows.join(F.broadcast(sizes), f"{own}name").select(*[f"`{c}`" for c in docs.columns], position)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

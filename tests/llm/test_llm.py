@@ -481,3 +481,17 @@ def test_rows_without_id_spread_over_the_last_stages(spark, sf):
     # No block of equal hashes: the texts tell the rows apart.
     told = rows.select(F.pmod(F.xxhash64(F.lit(11), *[F.col(c) for c in rows.columns]), F.lit(4)).alias("b")).groupBy("b").count().collect()
     assert max(r["count"] for r in told) < 9_000
+
+
+def test_rows_meet_their_files_number_without_a_shuffle(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    docs.drop("position").write.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for texts whose size Spark does not know
+    try:
+        placed = corpus_pipeline.placed(spark.read.parquet(f"{tmp_path}/docs"))
+        text = placed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+    assert sorted(r.position for r in placed.select("position").collect()) == list(range(docs.count()))
