@@ -156,7 +156,7 @@ def matched_lines(content: Column, regex: Column) -> Column:
     One pass: the marks go in where the expression matches the whole text, then the
     text is cut at its line breaks.
     """
-    marked = F.regexp_replace(F.translate(content, MARK, " "), regex, F.lit(MARK + "$0"))
+    marked = F.regexp_replace(F.replace(content, F.lit(MARK), F.lit(" ")), regex, F.lit(MARK + "$0"))
     lines = F.transform(F.split(marked, "\n", -1), lambda text, i: F.struct((i + 1).alias("line_number"), text.alias("text")))
     return F.filter(lines, lambda line: line["text"].contains(MARK))
 
@@ -195,7 +195,7 @@ def scan(files: DataFrame, rules: Sequence[Rule], kind: str = "security", dedupe
     rules = numbered(rules)
     pairs = _matching_pairs(files.select("repository_id", "path", "content", "language"), rules)
     located = pairs.withColumn("hit", F.explode(matched_lines(F.col("content"), F.col("regex")))).drop("content", "regex")
-    line = F.translate("hit.text", MARK, "")
+    line = F.replace("hit.text", F.lit(MARK), F.lit(""))
     matches = F.length("hit.text") - F.length(line)
     judged = performance_confidence if kind == "performance" else security_confidence
     name, number = F.col("name"), F.col("line_number")

@@ -4,6 +4,7 @@ import collections
 import datetime as dt
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from gitstrata.functions import commit_text as ct
 from gitstrata.functions.common import latest_per_key, top_n_per_key
 from gitstrata.functions.quality import with_measures
-from gitstrata.functions.regex import needles
+from gitstrata.functions.regex import core, java_regex, needles
 from gitstrata.operators import blocks, deps, health, incremental, models, occurrences, quality, reports, scan, structure
 from gitstrata.operators import completions as comp
 from gitstrata.operators.consensus import consensus
@@ -163,6 +164,38 @@ def test_needles_never_hide_a_match():
                 assert all(any(w.lower() in text.lower() for w in group) for group in words), rule.regex
 
 
+def test_cores_never_hide_a_match():
+    every = scan.security_rules() + scan.performance_rules() + scan.line_pattern_rules()
+    loops = "for a in b:\n  for c in d:\n    for e in f: g = []; h = {}\nx = y + 'z'\nx += \"y\"\nwhile p: \n\n q += 'r'\n"
+    texts = [CODE, CODE.upper(), CODE * 2, loops, loops.replace(" ", "  "), "x\u00a0=\u00a0y\u00a0+ 'z'"]
+    held = set()
+    for rule in every:
+        for text in texts:
+            if core(rule.regex) and re.search(rule.regex, text, re.M | re.I):
+                assert re.search(core(rule.regex), text, re.M | re.I), rule.regex
+                held.add(rule.regex)
+    assert len(held) > 5
+    assert core(r"for\s+\w+.*:\s*\n.*for\s+\w+.*:") == r":\s*\n.*for\s+\w+"
+    assert core(r"(\w+\s*=\s*\w+|\w+\s*\+=\s*[\"'].*)") == r"=\s*\w+|\+=\s*[\"']"
+    # What may be missing, comments, groups named again, codes of characters and literals alone are no cores.
+    for regex in ("", "|a", "()", r"a.*\(*b+", r"(?x)a.* # .* b\s*c", r"(a).*b\s*\1", r"a.*b(?!c)", r"a.*(b\s*c|d)", r".*(a|b)?", "a.*bc"):
+        assert core(regex) is None, regex
+    assert core(r"a.*\x41\s*b") is None and core(r"a.*\(*b\s*c") == r"b\s*c"
+    assert java_regex(r"[\w+.*]\w+.*?a\\\w+.*b") == r"(?dmUu)[\w+.*]\w+.*?a\\\w.*b"
+
+
+def test_long_lines_are_read_once(spark):
+    """Lines with many starts and no end: each start used to read the rest of its line once per letter of a word."""
+    n = 4000
+    texts = ["for something " * n + ": x\nfor a\n", "a = " + "b" * (10 * n) + " += c\n", "for a in b:\n" + "for something " * n + "\n"]
+    found = ["for a in b:\n  for c in d:\n    x = y + 'z'\n"]
+    files = spark.createDataFrame([("r", f"{i}.md", t, "markdown") for i, t in enumerate(texts + found)], "repository_id string, path string, content string, language string")
+    began = time.monotonic()
+    got = {(r.path, r.name, r.line_number) for r in scan.top_issues(scan.scan(files, scan.performance_rules(), "performance")).collect()}
+    assert time.monotonic() - began < 30
+    assert got == {("3.md", "inefficient_loops", 1), ("3.md", "nested_loops", 1), ("3.md", "string_concatenation", 3)}
+
+
 def test_confidence_and_ids(spark):
     files = spark.createDataFrame([("r", "a.py", CODE, "python")], "repository_id string, path string, content string, language string")
     found = {(r.name, r.line_number): r for r in scan.scan(files, scan.security_rules()).collect()}
